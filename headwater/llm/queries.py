@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality
+from . import bpe, exact_dedup, packing, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,8 +36,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op5_packing, op8_quality_rules, op10_exact_dedup)}
-
+    return {f.__name__: f for f in (op1_substring_dedup, op3_bpe, op5_packing, op8_quality_rules, op10_exact_dedup)}
+
+
+_OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS first_doc FROM w GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM w JOIN f USING (h), range(50) AS s(k) WHERE first_doc < doc_id),
+p AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
 
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -71,4 +86,4 @@ WINDOW g AS (PARTITION BY h)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": _OP8, "op10_exact_dedup": _OP10}
+    return {"op1_substring_dedup": _OP1, "op8_quality_rules": _OP8, "op10_exact_dedup": _OP10}
