@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, ngram_join, packing, quality, substring_dedup
+from . import bpe, chat_threads, exact_dedup, html_extract, license_scan, ngram_join, packing, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,16 +36,54 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def capture_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``: no list comes with the tables, so days and actions follow
+    from hashes of the names. Single hosts, whole domains and language folders are listed, some for a time."""
+    host = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    code = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    host = host.withColumn("m", code(F.col("host"))).withColumn("domain", F.substring_index("host", ".", -2))
+    domain = host.select("domain").distinct().withColumn("m", code(F.col("domain")))
+
+    def entries(df: DataFrame, name: str, entry, action: str, when, on) -> DataFrame:
+        return df.where(when).select(F.lit(name).alias("list"), entry.alias("entry"), F.lit(action).alias("action"), day(on).alias("day"))
+
+    m = F.col("m")
+    return (
+        entries(host, "hosts", F.col("host"), "listed", m % 4 == 0, m % 365)
+        .unionByName(entries(host, "hosts", F.col("host"), "unlisted", m % 8 == 0, m % 365 + 200))
+        .unionByName(entries(host, "hosts", F.col("host"), "listed", m % 16 == 0, m % 365 + 300))
+        .unionByName(entries(host, "folders", F.concat("host", F.lit("/en/")), "listed", m % 3 == 0, m % 500))
+        .unionByName(entries(domain, "domains", F.col("domain"), "listed", F.lit(True), m % 300))
+        .unionByName(entries(domain, "domains", F.col("domain"), "unlisted", F.lit(True), m % 300 + 90))
+    )
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(730)).cast("int")))
+    return url_filter.url_filter(captures, capture_list(pages)).withColumn("fetched", F.col("fetched").cast("string"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = chat_threads.quotation_threads(_table(spark, sf_dir, "conversations"))
+    return threads.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))  # -1: a root
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_bpe, op4_ngram_join, op5_packing, op8_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_bpe, op4_ngram_join, op5_packing, op6_url_filter, op7_license_scan, op8_quality_rules, op9_chat_threads, op10_exact_dedup)}
 
 
 _OP1 = r"""
@@ -69,6 +108,47 @@ r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, u.b
 SELECT doc_id, coalesce(n, 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2
 """
 
+_OP6 = r"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS fetched,
+    nullif(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') AS host,
+    regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)?', 1) AS path FROM pages),
+h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS m, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
+g AS (SELECT domain, CAST('0x' || substr(md5(domain), 1, 6) AS INTEGER) AS m FROM (SELECT DISTINCT domain FROM h)),
+e AS (SELECT 'hosts' AS list, host AS key, 'listed' AS action, m % 365 AS d FROM h WHERE m % 4 = 0
+  UNION ALL SELECT 'hosts', host, 'unlisted', m % 365 + 200 FROM h WHERE m % 8 = 0
+  UNION ALL SELECT 'hosts', host, 'listed', m % 365 + 300 FROM h WHERE m % 16 = 0
+  UNION ALL SELECT 'folders', host || '/en/', 'listed', m % 500 FROM h WHERE m % 3 = 0
+  UNION ALL SELECT 'domains', domain, 'listed', m % 300 FROM g
+  UNION ALL SELECT 'domains', domain, 'unlisted', m % 300 + 90 FROM g),
+a AS (SELECT DISTINCT list, key, DATE '2024-01-01' + CAST(d AS INTEGER) AS day, action FROM e),
+t AS (SELECT c.page_id, a.list, a.key, arg_max(action, day) AS action
+      FROM c JOIN a ON a.day <= c.fetched AND (c.host = a.key OR ends_with(c.host, '.' || a.key) OR (a.key LIKE '%/' AND starts_with(c.host || c.path, a.key)))
+      GROUP BY ALL),
+v AS (SELECT page_id, count(*) AS n_entries, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists,
+        min(struct_pack(l := -length(key), k := key)).k AS entry FROM t WHERE action = 'listed' GROUP BY page_id)
+SELECT page_id, url, CAST(fetched AS VARCHAR) AS fetched, host, coalesce(n_entries, 0) AS n_entries, coalesce(lists, '') AS lists, coalesce(entry, '') AS entry, n_entries IS NOT NULL AS blocked
+FROM c LEFT JOIN v USING (page_id)
+"""
+
+_OP9 = r"""
+WITH l AS (SELECT conv_id, turn, i, regexp_extract(line, '^(?:[ \t]*>)+') AS marks, trim(regexp_replace(line, '^(?:[ \t]*>)+', ''), ' ') AS line
+  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations)),
+x AS (SELECT *, length(marks) - length(replace(marks, '>', '')) AS level FROM l),
+y AS (SELECT *, CASE WHEN line = '' OR lag(line) OVER o IS NULL OR lag(line) OVER o = '' OR lag(level) OVER o <> level THEN 1 ELSE 0 END AS new FROM x WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)),
+p AS (SELECT conv_id, turn, level, lower(trim(regexp_replace(string_agg(line, ' ' ORDER BY i), '\s+', ' ', 'g'))) AS passage
+  FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM y) WHERE line <> '' GROUP BY conv_id, turn, level, g),
+f AS (SELECT conv_id, passage, min(turn) AS original FROM p WHERE level = 0 GROUP BY ALL),
+q AS (SELECT DISTINCT p.conv_id, p.turn, p.level, passage, CASE WHEN original < p.turn THEN original END AS original FROM p LEFT JOIN f USING (conv_id, passage) WHERE level > 0),
+k AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (original IS NULL) AS n_unlinked, max(level) AS quote_depth,
+  max(CASE WHEN original IS NOT NULL THEN struct_pack(l := -level, o := original) END).o AS original FROM q GROUP BY ALL),
+m AS (SELECT c.*, lag(c.turn) OVER (PARTITION BY conv_id ORDER BY c.turn) AS previous, k.* EXCLUDE (conv_id, turn) FROM conversations c LEFT JOIN k USING (conv_id, turn)),
+s AS (SELECT *, max(CASE WHEN previous IS NULL OR original <> previous THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch_turn,
+  coalesce(text, '') AS words FROM m)
+SELECT conv_id, turn, role, words AS text, coalesce(original, previous, -1) AS parent_turn, original IS NOT NULL AS linked, branch_turn,
+  CAST(coalesce(quote_depth, 0) AS BIGINT) AS quote_depth, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_unlinked, 0) AS BIGINT) AS n_unlinked,
+  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || words || chr(10) || '<|end|>' || chr(10) AS chat FROM s
+"""
+
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -105,4 +185,4 @@ WINDOW g AS (PARTITION BY h)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op4_ngram_join": _OP4, "op8_quality_rules": _OP8, "op10_exact_dedup": _OP10}
+    return {"op1_substring_dedup": _OP1, "op4_ngram_join": _OP4, "op6_url_filter": _OP6, "op8_quality_rules": _OP8, "op9_chat_threads": _OP9, "op10_exact_dedup": _OP10}
