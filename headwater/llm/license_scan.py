@@ -73,6 +73,11 @@ def index_words(template: str, n: int, df: dict[str, int]) -> list[tuple[str, fl
     return sorted(idf.items(), key=lambda x: (-x[1], x[0]))[:INDEX_WORDS]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once; inside a lambda it would be for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _phrase_starts(words: Column, phrase: list[str]) -> Column:
     """Positions (from 0) where the phrase's words stand consecutively."""
     first = F.transform(words, lambda w, i: F.when(w == phrase[0], i))
@@ -94,10 +99,17 @@ def _template_score(words: Column, label: str, key: str, template: str, index: l
     need = min(AGREE, len(index))
     postings = [(w, i) for w, _ in index for i in range(len(t)) if t[i] == w]
     rank = _strings([w for w, _ in index])  # rarest first
-    looked = F.slice(F.filter(rank, lambda w: F.array_contains(words, w)), 1, LOOKED_UP)
-    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(looked, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     posts = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in postings))
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(posts, lambda p: p.w == h.w), lambda p: h.i - p.p)))
+
+    def votes(looked: Column, hits: Column) -> Column:
+        mine = F.filter(hits, lambda h: F.array_contains(looked, h.w))
+        return F.array_distinct(F.flatten(F.transform(mine, lambda h: F.transform(F.filter(posts, lambda p: p.w == h.w), lambda p: h.i - p.p))))
+
+    def seen(hits: Column) -> Column:
+        return _let(F.array_distinct(F.transform(hits, lambda h: h.w)), lambda got: F.slice(F.filter(rank, lambda w: F.array_contains(got, w)), 1, LOOKED_UP))
+
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rank, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    places0 = _let(hits, lambda h: _let(seen(h), lambda looked: votes(looked, h)))
 
     def agree(o: Column) -> Column:
         return F.size(F.array_distinct(F.transform(F.filter(posts, lambda p: F.get(words, o + p.p) == p.w), lambda p: p.w))) >= need
@@ -105,7 +117,7 @@ def _template_score(words: Column, label: str, key: str, template: str, index: l
     def key_stands(o: Column) -> Column:
         return F.when(o + at >= 0, F.slice(words, F.greatest(o + at, F.lit(0)) + 1, len(k)) == _strings(k)).otherwise(False)
 
-    places = F.filter(F.array_distinct(votes), lambda o: key_stands(o) & agree(o))
+    places = F.filter(places0, lambda o: key_stands(o) & agree(o))
     whole = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("p")) for i, w in enumerate(t)))
     shares = F.transform(places, lambda o: F.size(F.filter(whole, lambda x: F.when(o + x.p >= 0, F.get(words, o + x.p) == x.w).otherwise(False))) / F.lit(float(len(t))))
     return F.when(_has_all(words, k), F.array_max(shares))
