@@ -100,6 +100,11 @@ def simulate(nodes: DataFrame, edges: DataFrame, change: DataFrame) -> DataFrame
     return found if found is not None else nodes.sparkSession.createDataFrame([], IMPACT_SCHEMA)
 
 
+def one_decimal(hours: Column) -> Column:
+    """Hours as text with one decimal, rounded as binary fractions are."""
+    return F.replace(F.format_number(hours.cast("double"), 1), F.lit(","), F.lit(""))
+
+
 def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), severity)
 
@@ -131,7 +136,7 @@ def summary(change: DataFrame, impacted: DataFrame) -> DataFrame:
         "=== Blast Radius Report ===\nChanged node  : %s\nChanged column: %s\nChange type   : %s\n\nTotal impacted: %d\n"
         "  BREAKING    : %d\n  WARNING     : %d\n  OK          : %d\n\nEstimated fix : %s hrs\n\nBy system:"
     )
-    text = F.format_string(head, "changed_node", F.coalesce("changed_column", F.lit("N/A")), "change_type", "total_impacted", "breaking_count", "warning_count", "ok_count", F.format_number("total_fix_hours", 1))
+    text = F.format_string(head, "changed_node", F.coalesce("changed_column", F.lit("N/A")), "change_type", "total_impacted", "breaking_count", "warning_count", "ok_count", one_decimal(F.col("total_fix_hours")))
     return totals(change, impacted).join(lines, "change_id", "left").select("change_id", F.concat(text, F.coalesce(F.concat(F.lit("\n"), "systems"), F.lit(""))).alias("summary"))
 
 

@@ -133,8 +133,8 @@ def cross_edges(u: Unified) -> DataFrame:
     ranked = u.paths.withColumn("r", rank).where("r > 0")
     shared = ranked.groupBy("path_key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("path_key")
     p = ranked.join(shared, "path_key", "left_semi")
-    b = p.select("path_key", F.col("node").alias("dst"), F.col("system").alias("sys_b"), F.col("r").alias("rb"), F.col("seq").alias("seq_b"))
-    pairs = p.join(b, (p.path_key == b.path_key) & (F.col("r") < F.col("rb"))).select(p.path_key, F.col("node").alias("src"), "dst", "system", "sys_b", F.concat(F.array(F.lit(4).cast("bigint")), "seq", "seq_b").alias("seq"))
+    b = p.select(F.col("path_key").alias("key_b"), F.col("node").alias("dst"), F.col("system").alias("sys_b"), F.col("r").alias("rb"), F.col("seq").alias("seq_b"))
+    pairs = p.join(b, (F.col("path_key") == F.col("key_b")) & (F.col("r") < F.col("rb"))).select("path_key", F.col("node").alias("src"), "dst", "system", "sys_b", F.concat(F.array(F.lit(4).cast("bigint")), "seq", "seq_b").alias("seq"))
     new = pairs.join(u.edges.select("src", "dst"), ["src", "dst"], "left_anti")
     one = new.groupBy("src", "dst").agg(F.min_by(F.struct("path_key", "system", "sys_b"), "seq").alias("x"), F.min("seq").alias("seq"))
     return _edges(one, F.col("src"), F.col("dst"), "cross", F.concat(F.col("x.system"), F.lit("_to_"), F.col("x.sys_b")), F.col("seq"), shared=F.col("x.path_key"))
