@@ -300,10 +300,9 @@ def simple_paths(spark, sf_dir):
     return graph.end_to_end_paths(provenance(spark, sf_dir)[1], "nation::3", "part::1").selectExpr("array_join(path, ' > ') AS path")
 
 
-@query(f"SELECT src, dst FROM ({EDGES}) e WHERE lvl IN (2, 3) AND false UNION ALL SELECT src, dst FROM ({EDGES}) e WHERE src IN (SELECT node FROM ({NODES}) n WHERE system = 'sql') AND dst IN (SELECT node FROM ({NODES}) n WHERE system = 'sql')")
+@query(f"SELECT src, dst FROM ({_U_EDGES}) e WHERE system = 'dbt'")
 def subgraph_edges(spark, sf_dir):
-    nodes, edges = provenance(spark, sf_dir)
-    return merge.subgraph(merge.Unified(nodes, edges, edges), "sql")[1].select("src", "dst")
+    return merge.subgraph(unified(spark, sf_dir), "dbt")[1].select("src", "dst")
 
 
 @query(f"SELECT node FROM ({NODES}) x WHERE system = 'spark'")
