@@ -64,17 +64,17 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     """``captures`` with host, n_entries (active entries that match), lists (their lists, sorted, joined by
     commas), entry (the longest of them, the least of equals) and blocked."""
     own = captures.drop(*(c for c in RESULT if c != url and c != fetched))
-    targets = own.select(F.col(url).alias("_url"), F.col(fetched).cast("date").alias("_day")).where(F.col("_url").isNotNull() & F.col("_day").isNotNull()).distinct()
-    keys = targets.withColumn("_host", host_of(F.col("_url"))).where("_host is not null")
-    keys = keys.select("_url", "_day", F.explode(keys_of(F.col("_host"), path_of(F.col("_url")))).alias("key"))
+    targets = own.select(F.col(url).alias("__hw_url"), F.col(fetched).cast("date").alias("__hw_day")).where(F.col("__hw_url").isNotNull() & F.col("__hw_day").isNotNull()).distinct()
+    keys = targets.withColumn("__hw_host", host_of(F.col("__hw_url"))).where("__hw_host is not null")
+    keys = keys.select("__hw_url", "__hw_day", F.explode(keys_of(F.col("__hw_host"), path_of(F.col("__hw_url")))).alias("key"))
     active = intervals(entries)
-    found = keys.join(active, (keys.key == active.key) & (keys._day >= active.valid_from) & (keys._day < active.valid_to)).select("_url", "_day", keys.key, "list")
-    verdicts = found.groupBy("_url", "_day").agg(
+    found = keys.join(active, (keys.key == active.key) & (keys["__hw_day"] >= active.valid_from) & (keys["__hw_day"] < active.valid_to)).select("__hw_url", "__hw_day", keys.key, "list")
+    verdicts = found.groupBy("__hw_url", "__hw_day").agg(
         F.count("*").alias("n_entries"),
         F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),  # as many as there are lists
         F.min(F.struct((-F.length("key")).alias("l"), F.col("key").alias("k"))).getField("k").alias("entry"),
     )
-    joined = own.join(verdicts, (F.col(url) == F.col("_url")) & (F.col(fetched).cast("date") == F.col("_day")), "left")
+    joined = own.join(verdicts, (F.col(url) == F.col("__hw_url")) & (F.col(fetched).cast("date") == F.col("__hw_day")), "left")
     return joined.select(
         *(F.col(c) for c in own.columns),
         host_of(F.col(url)).alias("host"),
