@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -30,8 +30,9 @@ def sql_directory(spark: SparkSession, path: str) -> DataFrame:
     files = _whole(spark, path, "*.sql")
     if files is None:
         return spark.createDataFrame([], "text_id bigint, pipeline_name string, sql string")
-    # the number is a hash of the name: an order over all files would need a single task
-    return files.select(F.xxhash64("stem").alias("text_id"), F.col("stem").alias("pipeline_name"), F.col("text").alias("sql"))
+    # only the names pass through the window's one task; texts stay where they are
+    numbers = files.select("file").withColumn("text_id", F.row_number().over(Window.orderBy("file")).cast("bigint") - 1)
+    return files.join(numbers, "file").select("text_id", F.col("stem").alias("pipeline_name"), F.col("text").alias("sql"))
 
 
 def schema_descriptions(spark: SparkSession, path: str) -> DataFrame:
