@@ -125,9 +125,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts move by (doc_id, digest), so a
     large copy group is spread over the tasks."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__hw_id"), F.unhex("text_sha256").alias("__hw_digest"))
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[ \t-\r]+", " ")
-    own = docs.withColumn("_digest0", F.unhex(F.sha2(text, 256)))
-    hit = own.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest0") == F.col("_digest")), "left_semi")
-    first = Window.partitionBy("doc_id", "_digest0").orderBy(F.lit(1))
-    return hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_digest0")
+    own = docs.withColumn("__hw_own", F.unhex(F.sha2(text, 256)))
+    hit = own.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__hw_id")) & (F.col("__hw_own") == F.col("__hw_digest")), "left_semi")
+    first = Window.partitionBy("doc_id", "__hw_own").orderBy(F.lit(1))
+    return hit.withColumn("__hw_n", F.row_number().over(first)).where("__hw_n = 1").drop("__hw_n", "__hw_own")

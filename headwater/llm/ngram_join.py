@@ -460,7 +460,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def drop_similar(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component (its smallest doc_id, one row of it), with all
     their columns; rows with a null doc_id stay."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__hw_id")).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").withColumn("_n", first).where("_n = 1").drop("_n")
+    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__hw_id"), "left_semi").withColumn("__hw_n", first).where("__hw_n = 1").drop("__hw_n")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batch, cut, stored, text_bytes
+from ._common import batch, cut, partitions, stored, text_bytes
 from ._hashes import WordHashes, mix, roll, sliding_min
 from .fm_index import FMIndex
 
@@ -84,21 +84,32 @@ def _groups(texts, ids, words: int = 1_000_000):
         yield numbers, held
 
 
-_ANCHOR = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64())])
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string())])
+_SCANNED_DDL = "doc_id long, anchor long, n_words long, sha256 string"
 _SEGMENT = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("digest", pa.binary()), ("content", pa.binary())])
 _SEGMENT_DDL = "anchor long, doc_id long, first int, windows int, digest binary, content binary"
 _FOUND = pa.schema([("digest", pa.binary()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("first_doc", pa.list_(pa.int64()))])
 _FOUND_DDL = "digest binary, at array<int>, n array<int>, first_doc array<long>"
 
 
-def _anchors(batches):
-    hashes = WordHashes()
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for numbers, docs in _groups(texts, ids):
-            owner, _, _, anchor = segments(docs, hashes)
-            of = np.array([ids[i] or 0 for i in numbers], np.int64)
-            yield batch(_ANCHOR, of[owner], anchor)
+def _scan(summaries: bool):
+    """Rows (doc_id, anchor) for the segments and, with ``summaries``, (doc_id, n_words, sha256) for each row."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for numbers, docs in _groups(texts, ids):
+                owner, _, _, anchor = segments(docs, hashes)
+                of = np.array([ids[i] or 0 for i in numbers], np.int64)
+                none = [None] * len(anchor)
+                yield batch(_SCANNED, of[owner], anchor, none, none)
+                if summaries:
+                    words = [w if ids[i] is not None else texts[i].split() for i, w in zip(numbers, docs)]
+                    none = [None] * len(words)
+                    yield batch(_SCANNED, [ids[i] for i in numbers], none, [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words])
+
+    return run
 
 
 def _candidates(batches):
@@ -197,14 +208,22 @@ def _shard(batches):
         yield out
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs array<struct<first, n>>): runs of windows that go, for documents that lose some."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    anchors = cut(base.mapInArrow(_anchors, "doc_id long, anchor long"))
+def _base(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+
+
+def wanted_anchors(scanned: DataFrame) -> DataFrame:
+    """(doc_id, wanted): each document's anchors that another document has too."""
+    anchors = scanned.where("anchor is not null").select("doc_id", "anchor")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    wanted = anchors.join(shared.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
-    # repeated rows of a document give the same segments; one of them is enough
-    parts = stored(base.join(wanted, "doc_id").mapInArrow(_candidates, _SEGMENT_DDL))
+    return cut(anchors.join(shared.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")))
+
+
+def repeated_windows(held: DataFrame) -> DataFrame:
+    """(doc_id, runs array<struct<first, n>>): runs of windows that go, for documents that lose some. ``held``: the
+    documents that have anchors in common with others (doc_id, text as bytes, wanted)."""
+    # repeated rows of a document give the same segments, which changes nothing
+    parts = stored(held.select("doc_id", "text", "wanted").mapInArrow(_candidates, _SEGMENT_DDL))
     contents = cut(
         parts.groupBy("digest").agg(
             F.first("anchor").alias("anchor"), F.first("content", ignorenulls=True).alias("content"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
@@ -221,8 +240,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         own = single.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         index = index.join(hot, "anchor", "left_anti").unionByName(own.where("first < last"))
         places = places.join(hot, "anchor", "left_anti").unionByName(single.select("anchor", "digest", "doc_id", F.col("first").alias("at0")))
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    found = index.repartition(int(n), "anchor").sortWithinPartitions("anchor").select("anchor", "digest", "content", "first", "last").mapInArrow(_shard, _FOUND_DDL)
+    found = index.repartition(partitions(held.sparkSession), "anchor").sortWithinPartitions("anchor").select("anchor", "digest", "content", "first", "last").mapInArrow(_shard, _FOUND_DDL)
     runs = places.join(found, "digest").select("doc_id", "at0", F.explode(F.arrays_zip("at", "n", "first_doc")).alias("r")).where("r.first_doc < doc_id")
     return runs.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("at0") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"))).alias("runs"))
 
@@ -253,15 +271,23 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield batch(schema, *(zip(*rows) if rows else [[]] * 4))
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return base.join(repeated_windows(docs), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    base = _base(docs)
+    scanned = cut(base.mapInArrow(_scan(True), _SCANNED_DDL))
+    wanted = wanted_anchors(scanned)
+    # only documents that share an anchor are shuffled; of the others the scan has told all
+    held = stored(base.join(wanted, "doc_id"))
+    cut_texts = held.select("doc_id", "text").join(repeated_windows(held), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    whole = scanned.where("anchor is null").join(wanted.select("doc_id"), "doc_id", "left_anti")
+    return whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")).unionByName(cut_texts)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages: texts that lose words become their kept words joined by one
     space (``n_chars``, if there, follows); all others stay as they are."""
-    runs = repeated_windows(docs).select(F.col("doc_id").alias("_id"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    base = _base(docs)
+    held = base.join(wanted_anchors(cut(base.mapInArrow(_scan(False), _SCANNED_DDL))), "doc_id")
+    runs = repeated_windows(held).select(F.col("doc_id").alias("__hw_id"), F.col("runs").alias("__hw_runs"))
+    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("__hw_id"), "left").drop("__hw_id")
     names = docs.columns
     at = names.index("text")
 
