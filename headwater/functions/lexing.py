@@ -49,19 +49,21 @@ def statements(texts: DataFrame) -> DataFrame:
 
 def significant(stmts: DataFrame) -> DataFrame:
     """Tokens of statements without white space and comments, each with its neighbours, nesting depth, paren group
-    and the clause it stands in. One shuffle by statement; all windows share it."""
+    and the clause it stands in. If ``stmts`` are distributed by (text_id, stmt), nothing moves: every window's keys
+    begin with these two."""
     spark = stmts.sparkSession
-    flat = tokens(stmts.selectExpr("struct(text_id, stmt) AS text_id", "pipeline_name", "raw_sql AS sql"))
+    pattern = TOKEN_RE.replace("\\", "\\\\").replace("'", "\\'")
+    flat = spark.sql(f"SELECT text_id, stmt, pos, tok FROM {{stmts}} LATERAL VIEW posexplode(regexp_extract_all(raw_sql, '(?s){pattern}', 0)) v AS pos, tok", stmts=stmts)
     seq = spark.sql(
         """
-        SELECT text_id.text_id AS text_id, text_id.stmt AS stmt, pos, tok, upper(tok) AS up,
+        SELECT text_id, stmt, pos, tok, upper(tok) AS up,
           lag(upper(tok), 1, '') OVER w AS p1, lag(upper(tok), 2, '') OVER w AS p2,
           lead(upper(tok), 1, '') OVER w AS n1, lead(upper(tok), 2, '') OVER w AS n2,
           tok RLIKE '^[A-Za-z_"`]' AS is_name,
-          sum(CASE WHEN tok = '(' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
-          sum(CASE WHEN tok = ')' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS closed
+          sum(CASE WHEN tok = '(' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id, stmt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
+          sum(CASE WHEN tok = ')' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id, stmt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS closed
         FROM {flat} WHERE NOT (tok RLIKE '^\\\\s' OR tok LIKE '--%' OR tok LIKE '/*%')
-        WINDOW w AS (PARTITION BY text_id ORDER BY pos)
+        WINDOW w AS (PARTITION BY text_id, stmt ORDER BY pos)
         """,
         flat=flat,
     )
