@@ -34,17 +34,29 @@ def tokens(texts: DataFrame) -> DataFrame:
 
 def statements(texts: DataFrame) -> DataFrame:
     """(text_id, stmt, pipeline_name, raw_sql): the texts cut at semicolons, trimmed, empty ones and such of
-    comments only left out. ``stmt`` counts from 0 within a text."""
-    return texts.sparkSession.sql(
+    comments only left out. ``stmt`` counts from 0 within a text. Texts without a semicolon but at their end are whole
+    statements; only the others are taken to tokens and put together again."""
+    spark = texts.sparkSession
+    trim = r"'^[\\s;]+|[\\s;]+$', ''"
+    single = spark.sql(
+        f"""
+        SELECT text_id, 0 AS stmt, pipeline_name, regexp_replace(sql, {trim}) AS raw_sql FROM {{texts}}
+        WHERE NOT contains(regexp_replace(sql, {trim}), ';') AND regexp_replace(sql, '(?s)--[^\\n]*|/[*].*?[*]/|[\\s;]', '') <> ''
+        """,
+        texts=texts,
+    )
+    several = spark.sql(f"SELECT * FROM {{texts}} WHERE contains(regexp_replace(sql, {trim}), ';')", texts=texts)
+    parts = spark.sql(
         """
         WITH t AS (SELECT *, sum(CASE WHEN tok = ';' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY pos) AS part FROM {tok})
         SELECT text_id, CAST(part AS INT) AS stmt, first(pipeline_name) AS pipeline_name,
-          regexp_replace(array_join(transform(array_sort(collect_list(struct(pos, tok))), x -> x.tok), ''), '^[\\\\s;]+|\\\\s+$', '') AS raw_sql
+          regexp_replace(array_join(transform(array_sort(collect_list(struct(pos, tok))), x -> x.tok), ''), '^[\\s;]+|\\s+$', '') AS raw_sql
         FROM t GROUP BY text_id, part
-        HAVING count_if(NOT (tok = ';' OR tok RLIKE '^\\\\s' OR tok LIKE '--%' OR tok LIKE '/*%')) > 0
+        HAVING count_if(NOT (tok = ';' OR tok RLIKE '^\\s' OR tok LIKE '--%' OR tok LIKE '/*%')) > 0
         """,
-        tok=tokens(texts),
+        tok=tokens(several),
     )
+    return single.unionByName(parts)
 
 
 def significant(stmts: DataFrame) -> DataFrame:
