@@ -70,7 +70,11 @@ class Block:
     words: int
     link_words: int
     tag: str
-    kinds: frozenset[str]
+    marks: frozenset[tuple[str, int, bool]]  # kind, number of the element, whether a name tells it rather than the tag
+
+    @property
+    def kinds(self) -> frozenset[str]:
+        return frozenset(k for k, _, _ in self.marks)
 
     @property
     def link_density(self) -> float:
@@ -94,7 +98,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []  # open elements: tag, kinds so far, silent
+    stack: list[tuple[str, frozenset, bool]] = []  # open elements: tag, marks so far, silent
+    number = 0
     opened: Counter[str] = Counter()
     links = 0
     pos, low = 0, page.lower()
@@ -152,7 +157,9 @@ def blocks(page: str) -> list[Block]:
         above, silent = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), False)
         if tag == "body":  # class names of the whole page tell nothing
             kinds = frozenset()
-        stack.append((tag, above | kinds, silent or hidden or tag in SILENT_TAGS))
+        number += 1
+        marks = frozenset((k, number, TAG_KIND.get(tag) != k) for k in kinds)
+        stack.append((tag, above | marks, silent or hidden or tag in SILENT_TAGS))
         opened[tag] += 1
         if tag in RAW_TAGS:
             end = low.find(f"</{tag}", pos)
@@ -300,12 +307,27 @@ def trained() -> Tree:
     return Tree(*training_table())
 
 
+def _misnamed(found: Sequence[Block]) -> frozenset:
+    """Marks by class names ("with-sidebar") of elements around most of the page's words: on a page without any article
+    text they name the layout, not the content. Comments stay comments."""
+    words: Counter = Counter()
+    for b in found:
+        for m in b.marks:
+            words[m] += b.words
+    total = sum(b.words for b in found)
+    return frozenset(m for m, n in words.items() if m[2] and m[0] in FRAME - {"comment"} and n > 0.6 * total)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line."""
     found = blocks(page or "")
     if not found:
         return ""
     keep = trained().predict(features(found)) >= 0.5
+    if not keep.any() and (wide := _misnamed(found)):
+        for b in found:
+            b.marks -= wide
+        keep = trained().predict(features(found)) >= 0.5
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

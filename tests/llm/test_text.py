@@ -168,6 +168,12 @@ def test_html_main_text(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_layout_names_do_not_hide_the_article():
+    page = "<div class='layout sidebar-left'><nav><a href=x>Home</a></nav><h1>Title</h1><p>" + "word " * 30 + "</p><aside>Side words</aside></div>"
+    assert html_extract.main_text(page) == "Title\n" + " ".join(["word"] * 30)
+    assert html_extract.main_text("<div class='comments'><p>" + "word " * 30 + "</p></div>") == ""
+
+
 def test_html_tree_on_held_out_pages():
     x, y = html_extract.training_table()
     held = np.arange(len(y)) % 4 == 0
