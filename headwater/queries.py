@@ -420,14 +420,14 @@ def default_target(spark, sf_dir):
 
 @query(f"SELECT node, CASE WHEN lvl = 1 THEN 'new' ELSE 'old' END AS version FROM ({NODES}) x WHERE lvl <= 2")
 def upsert_nodes(spark, sf_dir):
-    n = provenance(spark, sf_dir)[0].where("seq[0] <= 2").selectExpr("node", "'old' AS version", "seq")
+    n = provenance(spark, sf_dir)[0].selectExpr("node", "'old' AS version", "seq")
     new = n.where("seq[0] = 1").withColumn("version", F.lit("new"))
     return store.upserted_nodes(n, new).select("node", "version")
 
 
 @query(f"SELECT src, dst, CASE WHEN lvl = 2 THEN 'new' ELSE system END AS version FROM ({EDGES}) x WHERE lvl <= 3")
 def upsert_edges(spark, sf_dir):
-    e = provenance(spark, sf_dir)[1].where("seq[0] <= 3").selectExpr("src", "dst", "system AS version", "seq")
+    e = provenance(spark, sf_dir)[1].selectExpr("src", "dst", "system AS version", "seq")
     return store.upserted_edges(e, e.where("seq[0] = 2").withColumn("version", F.lit("new"))).select("src", "dst", "version")
 
 

@@ -48,3 +48,11 @@ def test_closure_counts_of_all_nodes(spark, tables):
     up = Counter(x for found in down.values() for x in found)
     got = {r.node: (r.upstream_count, r.downstream_count) for r in Q["closure_counts"](spark, tables).collect()}
     assert got == {n: (up[n], len(down[n])) for n in nodes}
+
+
+def test_upserts_into_all_nodes_and_edges(spark, tables):
+    nodes, edges = foreign_keys()
+    got = sorted((r.node, r.version) for r in Q["upsert_nodes"](spark, tables).collect())
+    assert got == sorted((n, "new" if n.startswith("nation::") else "old") for n in nodes)
+    got = sorted((r.src, r.dst, r.version) for r in Q["upsert_edges"](spark, tables).collect())
+    assert got == sorted((a, b, "new" if level == 2 else system) for a, b, system, level in edges)
