@@ -139,5 +139,5 @@ def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("json")))
 
 
-def end_to_end_paths(edges: DataFrame, src: str, dst: str, max_hops: int = 50) -> DataFrame:
+def end_to_end_paths(edges: DataFrame, src: str, dst: str, max_hops: int | None = None) -> DataFrame:
     return simple_paths(edges, src, dst, max_hops)

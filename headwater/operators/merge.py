@@ -176,5 +176,5 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(edges.agg(F.count_if(F.col("system") == "cross").alias("cross_edges")))  # one row each
 
 
-def end_to_end_paths(u: Unified, src: str, dst: str, max_hops: int = 50) -> DataFrame:
+def end_to_end_paths(u: Unified, src: str, dst: str, max_hops: int | None = None) -> DataFrame:
     return simple_paths(u.edges, src, dst, max_hops)

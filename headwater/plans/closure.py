@@ -52,19 +52,28 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
 
 
-def simple_paths(edges: DataFrame, src: str, dst: str, max_hops: int = 50) -> DataFrame:
-    """(path) of all simple paths; their number may grow exponentially with the graph, so ``max_hops`` bounds
-    their length."""
+def simple_paths(edges: DataFrame, src: str, dst: str, max_hops: int | None = None) -> DataFrame:
+    """(path) of all simple paths, followed level by level until none goes on; their number may grow exponentially with
+    the graph. With ``max_hops``, paths that go on beyond it are an error rather than left out."""
+    spark = edges.sparkSession
+    found = spark.createDataFrame([], "path array<string>")
     if src == dst:
-        return edges.sparkSession.createDataFrame([], "path array<string>")
-    query = f"""
-        WITH RECURSIVE p(node, path) MAX RECURSION LEVEL {max_hops + 1} AS (
-          SELECT dst, array(src, dst) FROM {{e}} WHERE src = {{a}}
-          UNION ALL
-          SELECT e.dst, array_append(p.path, e.dst) FROM p JOIN {{e}} e ON e.src = p.node
-          WHERE p.node <> {{b}} AND NOT array_contains(p.path, e.dst) AND size(p.path) <= {max_hops})
-        SELECT path FROM p WHERE node = {{b}}"""
-    return edges.sparkSession.sql(query.replace("{a}", ":a").replace("{b}", ":b"), args={"a": src, "b": dst}, e=edges.select("src", "dst").distinct())
+        return found
+    links = materialise(edges.select("src", "dst").distinct())
+    frontier = spark.createDataFrame([(src, [src])], "node string, path array<string>")
+    hop = 0
+    while True:
+        step = frontier.join(links, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        step = materialise(step.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")))
+        n, ended = step.agg(F.count("*"), F.count_if(F.col("node") == dst)).first()
+        if n == 0:
+            return found
+        if hop == max_hops:
+            raise ValueError(f"paths from {src} go on beyond {max_hops} hops")
+        hop += 1
+        if ended:
+            found = found.unionByName(step.where(F.col("node") == dst).select("path"))
+        frontier = step.where(F.col("node") != dst)
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
