@@ -35,6 +35,8 @@ BLOCK_TAGS = frozenset(
 SILENT_TAGS = frozenset("script style noscript template svg math iframe object embed canvas audio video map select textarea title head noframes".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a head may hold; anything else ends an open head, as does text.
+HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Start tags that end an open element of the second set, whose end tags may be left out.
 IMPLIED = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -127,8 +129,17 @@ def blocks(page: str) -> list[Block]:
         links -= sum(t == "a" for t, _, _ in stack[to:])
         del stack[to:]
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            close(next(i for i, x in enumerate(stack) if x[0] == "head"))
+
+    def between(raw: str) -> None:
+        if raw and not raw.isspace():
+            end_head()
+        say(raw)
+
     for m in iter(lambda: _TOKEN.search(page, pos), None):
-        say(page[pos : m.start()])
+        between(page[pos : m.start()])
         token, pos = m[0], m.end()
         if token[1] in "!?":
             continue
@@ -142,6 +153,8 @@ def blocks(page: str) -> list[Block]:
             continue
         name = re.match(r"<([a-zA-Z][^\s/>]*)", token)[1]
         tag, rest = name.lower(), token[len(name) + 1 :]
+        if tag not in HEAD_TAGS:
+            end_head()
         if tag == "br":
             say(" ")
             continue
@@ -172,7 +185,7 @@ def blocks(page: str) -> list[Block]:
             close(len(stack) - 1)
         elif tag == "a":
             links += 1
-    say(page[pos:])
+    between(page[pos:])
     flush()
     return out
 
