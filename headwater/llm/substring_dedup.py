@@ -86,8 +86,8 @@ def _groups(texts, ids, words: int = 1_000_000):
 
 _SCANNED = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string())])
 _SCANNED_DDL = "doc_id long, anchor long, n_words long, sha256 string"
-_SEGMENT = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("digest", pa.binary()), ("content", pa.binary())])
-_SEGMENT_DDL = "anchor long, doc_id long, first int, windows int, digest binary, content binary"
+_SEGMENT = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("digest", pa.binary()), ("content", pa.binary()), ("row", pa.int64())])
+_SEGMENT_DDL = "anchor long, doc_id long, first int, windows int, digest binary, content binary, row long"
 _FOUND = pa.schema([("digest", pa.binary()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("first_doc", pa.list_(pa.int64()))])
 _FOUND_DDL = "digest binary, at array<int>, n array<int>, first_doc array<long>"
 
@@ -116,8 +116,8 @@ def _candidates(batches):
     """Segments of the documents' candidate anchors; a content goes out once from each task."""
     hashes, sent = WordHashes(), set()
     for b in batches:
-        ids, texts, wanted = (b.column(i) for i in range(3))
-        ids, texts, wanted = ids.to_pylist(), texts.to_pylist(), wanted
+        ids, texts, wanted, rows = (b.column(i) for i in range(4))
+        ids, texts, rows = ids.to_pylist(), texts.to_pylist(), rows.to_pylist()
         for numbers, docs in _groups(texts, ids):
             owner, first, windows, anchor = segments(docs, hashes)
             out = []
@@ -134,20 +134,20 @@ def _candidates(batches):
                         sent.clear()
                     new = digest not in sent
                     sent.add(digest)
-                    out.append((int(anchor[k]), ids[numbers[j]], int(first[k]), int(windows[k]), digest, content if new else None))
+                    out.append((int(anchor[k]), ids[numbers[j]], int(first[k]), int(windows[k]), digest, content if new else None, rows[numbers[j]]))
             if out:
                 yield batch(_SEGMENT, *zip(*out))
 
 
 def _single_windows(batches):
-    """(anchor, doc_id, first, windows, digest, content) of hot segments, cut into single windows."""
+    """(anchor, doc_id, first, windows, digest, content, row) of hot segments, cut into single windows."""
     for b in batches:
         out = []
-        for _, doc_id, first, windows, content in zip(*(b.column(i).to_pylist() for i in range(5))):
+        for _, doc_id, first, windows, content, row in zip(*(b.column(i).to_pylist() for i in range(6))):
             words = content.split(b" ")
             for i in range(windows):
                 one = b" ".join(words[i : i + WINDOW])
-                out.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), doc_id, first + i, 1, xxhash.xxh3_128_digest(one), one))
+                out.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), doc_id, first + i, 1, xxhash.xxh3_128_digest(one), one, row))
             if len(out) > 20_000:
                 yield batch(_SEGMENT, *zip(*out))
                 out = []
@@ -209,7 +209,7 @@ def _shard(batches):
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("row", F.xxhash64("text"))
 
 
 def wanted_anchors(scanned: DataFrame) -> DataFrame:
@@ -220,29 +220,30 @@ def wanted_anchors(scanned: DataFrame) -> DataFrame:
 
 
 def repeated_windows(held: DataFrame) -> DataFrame:
-    """(doc_id, runs array<struct<first, n>>): runs of windows that go, for documents that lose some. ``held``: the
-    documents that have anchors in common with others (doc_id, text as bytes, wanted)."""
+    """(doc_id, row, runs array<struct<first, n>>): runs of windows that go, for rows that lose some. ``held``: the
+    documents that have anchors in common with others (doc_id, text as bytes, row, wanted). ``row`` is a hash of the
+    text: rows of one doc_id that differ in text each have their own runs."""
     # repeated rows of a document give the same segments, which changes nothing
-    parts = stored(held.select("doc_id", "text", "wanted").mapInArrow(_candidates, _SEGMENT_DDL))
+    parts = stored(held.select("doc_id", "text", "wanted", "row").mapInArrow(_candidates, _SEGMENT_DDL))
     contents = cut(
         parts.groupBy("digest").agg(
             F.first("anchor").alias("anchor"), F.first("content", ignorenulls=True).alias("content"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
         )
     )
-    places = parts.select("anchor", "digest", "doc_id", "first").withColumnRenamed("first", "at0")
+    places = parts.select("anchor", "digest", "doc_id", "row", "first").withColumnRenamed("first", "at0")
     hot = contents.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor")
     index = contents.select("anchor", "digest", "content", "first", "last")
     if hot.limit(1).count():
         hot = cut(hot)
         text = contents.select("digest", "content")
-        rows = parts.drop("content").join(hot, "anchor", "left_semi").join(text, "digest").select("anchor", "doc_id", "first", "windows", "content")
+        rows = parts.drop("content").join(hot, "anchor", "left_semi").join(text, "digest").select("anchor", "doc_id", "first", "windows", "content", "row")
         single = stored(rows.mapInArrow(_single_windows, _SEGMENT_DDL))
         own = single.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         index = index.join(hot, "anchor", "left_anti").unionByName(own.where("first < last"))
-        places = places.join(hot, "anchor", "left_anti").unionByName(single.select("anchor", "digest", "doc_id", F.col("first").alias("at0")))
+        places = places.join(hot, "anchor", "left_anti").unionByName(single.select("anchor", "digest", "doc_id", "row", F.col("first").alias("at0")))
     found = index.repartition(partitions(held.sparkSession), "anchor").sortWithinPartitions("anchor").select("anchor", "digest", "content", "first", "last").mapInArrow(_shard, _FOUND_DDL)
-    runs = places.join(found, "digest").select("doc_id", "at0", F.explode(F.arrays_zip("at", "n", "first_doc")).alias("r")).where("r.first_doc < doc_id")
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct((F.col("at0") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"))).alias("runs"))
+    runs = places.join(found, "digest").select("doc_id", "row", "at0", F.explode(F.arrays_zip("at", "n", "first_doc")).alias("r")).where("r.first_doc < doc_id")
+    return runs.groupBy("doc_id", "row").agg(F.collect_list(F.struct((F.col("at0") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"))).alias("runs"))
 
 
 def keep_mask(n_words: int, runs, window: int = WINDOW) -> np.ndarray:
@@ -272,11 +273,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             yield batch(schema, *(zip(*rows) if rows else [[]] * 4))
 
     base = _base(docs)
-    scanned = cut(base.mapInArrow(_scan(True), _SCANNED_DDL))
+    scanned = cut(base.select("doc_id", "text").mapInArrow(_scan(True), _SCANNED_DDL))
     wanted = wanted_anchors(scanned)
     # only documents that share an anchor are shuffled; of the others the scan has told all
     held = stored(base.join(wanted, "doc_id"))
-    cut_texts = held.select("doc_id", "text").join(repeated_windows(held), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut_texts = held.select("doc_id", "row", "text").join(repeated_windows(held), ["doc_id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     whole = scanned.where("anchor is null").join(wanted.select("doc_id"), "doc_id", "left_anti")
     return whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")).unionByName(cut_texts)
 
@@ -285,9 +286,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages: texts that lose words become their kept words joined by one
     space (``n_chars``, if there, follows); all others stay as they are."""
     base = _base(docs)
-    held = base.join(wanted_anchors(cut(base.mapInArrow(_scan(False), _SCANNED_DDL))), "doc_id")
-    runs = repeated_windows(held).select(F.col("doc_id").alias("__hw_id"), F.col("runs").alias("__hw_runs"))
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("__hw_id"), "left").drop("__hw_id")
+    held = base.join(wanted_anchors(cut(base.select("doc_id", "text").mapInArrow(_scan(False), _SCANNED_DDL))), "doc_id")
+    runs = repeated_windows(held).select(F.col("doc_id").alias("__hw_id"), F.col("row").alias("__hw_row"), F.col("runs").alias("__hw_runs"))
+    joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("__hw_id")) & (F.xxhash64(text_bytes()) == F.col("__hw_row")), "left").drop("__hw_id", "__hw_row")
     names = docs.columns
     at = names.index("text")
 
