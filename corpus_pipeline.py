@@ -34,7 +34,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tokenizer = packing.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, spark)
+    tokenizer = packing.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, spark, added=True)
     return packing.pack(docs, tokenizer)
 
 

@@ -51,40 +51,42 @@ def _byte_chars() -> dict[str, int]:
 class JsonTokenizer:
     """Ids of a byte-level BPE file of ``tokenizers``. Texts of Latin script take a faster encoder over
     the same vocabulary and merge order; any other text, and every probe of the tests, goes to
-    ``tokenizers`` itself."""
+    ``tokenizers`` itself. ``added``: as in its plain call, the names of added tokens in a text become those tokens;
+    otherwise they are text like any other."""
 
-    def __init__(self, content: str, pattern: str):
+    def __init__(self, content: str, pattern: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_str(content)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
         of = _byte_chars()
         vocab = json.loads(content)["model"]["vocab"]
         special = {t["content"] for t in json.loads(content)["added_tokens"]}
+        self.added = re.compile("|".join(map(re.escape, special))) if added and special else None
         ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or self.added and self.added.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.asarray(self.fast.encode_ordinary(text), "<u4")
 
 
-_TOKENIZERS: dict[str, JsonTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, bool], JsonTokenizer] = {}
 
 
-def json_tokenizer(path: str, pattern: str, spark) -> Callable[[], JsonTokenizer]:
+def json_tokenizer(path: str, pattern: str, spark, added: bool = False) -> Callable[[], JsonTokenizer]:
     """A function that gives a worker its tokenizer; the file (one vocabulary) is read on the driver."""
     with open(path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
 
     def get() -> JsonTokenizer:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = JsonTokenizer(content.value, pattern)
-        return _TOKENIZERS[path]
+        if (path, added) not in _TOKENIZERS:
+            _TOKENIZERS[path, added] = JsonTokenizer(content.value, pattern, added)
+        return _TOKENIZERS[path, added]
 
     return get
 

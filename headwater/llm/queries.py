@@ -32,7 +32,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = packing.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, spark)
+    tokenizer = packing.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, spark, added=True)
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
 
 
