@@ -1,22 +1,20 @@
 """Operator 2, HTML extraction: flat text blocks classified by a decision tree.
 
-A page becomes a flat list of text blocks, cut at block-level tags. Each block is described by its own word
-count and link density, those of the block before and after it, and what encloses it: the kind of container
-its tags and their class, id and role names stand for. A decision tree, trained on the labelled blocks of
-``training_pages`` (a table of 66 small pages: eleven frames, six sets of lengths), tells article text from the rest.
-
-Cases: null html counts as empty and gives an empty text; pages of any length are read whole; unclosed and
-stray tags, unterminated comments and scripts do no harm; repeated rows are extracted one by one; null page_ids
-and urls stay null; other columns are ignored; an empty table gives an empty result.
+``html_blocks`` cuts a page into a flat list of text blocks. A block is described by its word count and link density, by
+those of the block before and the block after it, and by what encloses it: the tags and the class, id and role names
+of its containers are plain features beside the others, and no rule outside the tree looks at them. The tree is
+trained on the driver, on the labelled blocks of ``TRAINING_PAGES`` pages that ``html_labels`` writes in many layouts,
+with telling, neutral and misleading class names; workers get its nodes.
+
+Cases: null html counts as empty and gives an empty text; pages of any length are read whole, in time and memory in
+proportion to their length whatever the markup; repeated rows are extracted one by one; null page_ids and urls stay
+null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import html
 import re
-from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,218 +23,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import batch
-
-# Fixed values of HTML: elements that part text into blocks, and elements without readable text.
-BLOCK_TAGS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
-    "summary table tbody td tfoot th thead title tr ul".split()
+from .html_blocks import HEADINGS, Block, Page, read
+from .html_labels import labelled_pages
+
+#: Labelled pages that the tree is trained on.
+TRAINING_PAGES = 1500
+#: Share of a page's words from which an article element says where the article is.
+MAIN_SHARE = 0.1
+#: Words of a block at most in which the phrases below mean anything.
+CUE_WORDS = 60
+
+# Phrases of the lines around articles: a mark of copyright, an invitation to log in, subscribe, share or reply.
+_CUES = re.compile(
+    r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookie|privacy|terms of (?:use|service)|\b(?:sign|log) ?(?:in|up|out)\b|subscribe|newsletter|advertis|sponsor"
+    r"|\bshare (?:this|on)\b|follow us|read more|read next|related (?:articles|posts|stories)|most read|leave a (?:reply|comment)|\d+ (?:comments|replies|responses)\b|^comments\b|\breply\b|skip to|back to top|powered by",
+    re.I,
 )
-SILENT_TAGS = frozenset("script style noscript template svg math iframe object embed canvas audio video map select textarea title head noframes".split())
-RAW_TAGS = frozenset("script style textarea title noscript iframe noframes".split())
-VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What a head may hold; anything else ends an open head, as does text.
-HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
-#: Start tags that end an open element of the second set, whose end tags may be left out.
-IMPLIED = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"},
-}
-
-# What a container is for, by its tag or the words of its class, id and role.
-TAG_KIND = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "dialog": "notice", "article": "body", "main": "body"}
-WORD_KIND = {
-    "menu": "nav navigation navbar menu submenu breadcrumb breadcrumbs pagination pager tabs toc tags skip",
-    "header": "header masthead banner topbar logo branding",
-    "footer": "footer copyright legal colophon bottom contentinfo",
-    "side": "sidebar side aside related recommended widget widgets complementary trending popular teaser rail more",
-    "notice": "cookie cookies consent gdpr notice notices alert alertdialog popup modal overlay paywall subscribe newsletter signup warning",
-    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner-ad adbox dfp outbrain taboola",
-    "form": "form login search comment-form reply-form contact-form",
-    "comment": "comment comments discussion disqus respond replies reader-comments",
-    "social": "social share sharing follow byline-share",
-    "body": "article content post entry main story body text",
-}
-KINDS = ("menu", "header", "footer", "side", "notice", "advert", "form", "comment", "social", "body")
-_KIND_OF = {w: k for k in KINDS for w in WORD_KIND[k].split()}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\s(?:hidden(?=[\s=/>])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_SPACE = re.compile(r"\s+")
-
-
-@dataclass
-class Block:
-    text: str
-    words: int
-    link_words: int
-    tag: str
-    marks: frozenset[tuple[str, int, bool]]  # kind, number of the element, whether a name tells it rather than the tag
-
-    @property
-    def kinds(self) -> frozenset[str]:
-        return frozenset(k for k, _, _ in self.marks)
-
-    @property
-    def link_density(self) -> float:
-        return self.link_words / self.words if self.words else 0.0
-
-
-@lru_cache(maxsize=20_000)
-def _kinds(tag: str, attributes: str) -> tuple[frozenset[str], bool]:
-    found = {TAG_KIND[tag]} if tag in TAG_KIND else set()
-    for _, a, b, c in _ATTR.findall(attributes):
-        for name in (a or b or c).lower().split():
-            if name in _KIND_OF:
-                found.add(_KIND_OF[name])
-            else:
-                found.update(_KIND_OF[w] for w in re.split(r"[-_]+", name) if w in _KIND_OF)
-    return frozenset(found), bool(_HIDDEN.search(attributes))
-
+_COMMENTS = re.compile(r"^(?:\d+ )?(?:comments|replies|responses|reader comments|join the discussion|leave a (?:reply|comment))\b", re.I)
+_STOPS = (".", "!", "?", ":", "…", '"', "”", ")")
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
-    out: list[Block] = []
-    text: list[str] = []
-    linked: list[str] = []
-    stack: list[tuple[str, frozenset, bool]] = []  # open elements: tag, marks so far, silent
-    number = 0
-    opened: Counter[str] = Counter()
-    links = 0
-    pos, low = 0, page.lower()
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
+    "heading", "item", "in_article", "nested_articles", "article_share", "frame_tag", "named_frame", "named_share", "named_inside", "named_body", "named_comment",
+    "cue", "stops", "group_link_density", "after_comments", "longest_before", "longest_after",
+)
 
-    def flush() -> None:
-        words = _SPACE.sub(" ", "".join(text)).strip()
-        if words:
-            tag = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "")
-            out.append(Block(words, words.count(" ") + 1, len("".join(linked).split()), tag, stack[-1][1] if stack else frozenset()))
-        text.clear()
-        linked.clear()
 
-    def say(raw: str) -> None:
-        if raw and not (stack and stack[-1][2]):
-            s = html.unescape(raw) if "&" in raw else raw
-            text.append(s)
-            if links:
-                linked.append(" " + s)
-
-    def close(to: int) -> None:
-        nonlocal links
-        if any(t in BLOCK_TAGS for t, _, _ in stack[to:]):
-            flush()
-        opened.subtract(t for t, _, _ in stack[to:])
-        links -= sum(t == "a" for t, _, _ in stack[to:])
-        del stack[to:]
-
-    def end_head() -> None:
-        if stack and stack[-1][0] == "head":
-            close(next(i for i, x in enumerate(stack) if x[0] == "head"))
-
-    def between(raw: str) -> None:
-        if raw and not raw.isspace():
-            end_head()
-        say(raw)
-
-    for m in iter(lambda: _TOKEN.search(page, pos), None):
-        between(page[pos : m.start()])
-        token, pos = m[0], m.end()
-        if token[1] in "!?":
-            continue
-        if token[1] == "/":
-            tag = token[2:-1].split(None, 1)[0].lower() if token[2:-1].strip() else ""
-            at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if opened[tag] > 0 else -1
-            if at >= 0:
-                close(at)
-            elif tag in BLOCK_TAGS:
-                flush()
-            continue
-        name = re.match(r"<([a-zA-Z][^\s/>]*)", token)[1]
-        tag, rest = name.lower(), token[len(name) + 1 :]
-        if tag not in HEAD_TAGS:
-            end_head()
-        if tag == "br":
-            say(" ")
-            continue
-        if tag in BLOCK_TAGS:
-            flush()
-            if opened["p"] > 0:  # a block ends an open paragraph
-                close(next(i for i, x in enumerate(stack) if x[0] == "p"))
-        if tag in IMPLIED and stack and stack[-1][0] in IMPLIED[tag]:
-            close(len(stack) - 1)
-        if tag in VOID_TAGS or token.endswith("/>") and tag not in BLOCK_TAGS | RAW_TAGS | {"a", "b", "i", "em", "span", "strong"}:
-            continue
-        kinds, hidden = _kinds(tag, rest)
-        above, silent = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), False)
-        if tag == "body":  # class names of the whole page tell nothing
-            kinds = frozenset()
-        number += 1
-        marks = frozenset((k, number, TAG_KIND.get(tag) != k) for k in kinds)
-        stack.append((tag, above | marks, silent or hidden or tag in SILENT_TAGS))
-        opened[tag] += 1
-        if tag in RAW_TAGS:
-            end = low.find(f"</{tag}", pos)
-            if end < 0:
-                pos = len(page)
-            else:
-                say(page[pos:end]) if tag not in SILENT_TAGS else None
-                stop = page.find(">", end)
-                pos = len(page) if stop < 0 else stop + 1
-            close(len(stack) - 1)
-        elif tag == "a":
-            links += 1
-    between(page[pos:])
-    flush()
-    return out
-
-
-#: Kinds that never hold article text, whatever encloses them.
-FRAME = frozenset(KINDS) - {"header", "body"}
-FEATURES = ("framed", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "listed", *KINDS)
-
-
-def features(found: Sequence[Block]) -> np.ndarray:
+def features(page: Page) -> np.ndarray:
     """A row for each block: itself, its neighbours, its containers."""
+    found = page.blocks
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
     if not n:
         return x
-    x[:, 0] = [bool(b.kinds & FRAME) for b in found]
-    x[:, 1] = [b.words for b in found]
-    x[:, 2] = [b.link_density for b in found]
-    x[1:, 3:5] = x[:-1, 1:3]
-    x[:-1, 5:7] = x[1:, 1:3]
-    x[:, 7] = [b.tag[:1] == "h" and b.tag[1:].isdigit() for b in found]
-    x[:, 8] = [b.tag in ("li", "dt", "dd", "td", "th") for b in found]
-    for j, k in enumerate(KINDS):
-        x[:, 9 + j] = [k in b.kinds for b in found]
+    words = np.array([b.words for b in found], float)
+    density = np.array([b.link_density for b in found])
+    own = words * (1 - density)  # words outside links
+    total = max(1.0, own.sum())
+    inside = page.words_inside(own)
+    x[:, 0], x[:, 1] = words, density
+    x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
+    x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
+    # article and main elements count where one holds a good part of the page and most of all of them: comments and
+    # teasers are marked up as articles, too
+    mains = page.holds_main()
+    tops = [inside[k] for k in page.top_articles]
+    bounded = bool(tops) and max(tops) >= MAIN_SHARE * total and 2 * max(tops) >= sum(tops)
+    group_words, group_own = page.group_sums(words), page.group_sums(own)
+    comments = False
+    for i, b in enumerate(found):
+        c = page.contexts[b.node]
+        comments = comments or bool(b.words < 8 and _COMMENTS.match(b.text))
+        x[i, 6:] = (
+            b.tag in HEADINGS,
+            b.tag in ("li", "dt", "dd", "td", "th"),
+            (1 if c.articles else -1) if bounded else 0,
+            c.articles,
+            inside[c.article] / total if c.article >= 0 else 0,
+            c.frame_tag,
+            0 if c.named_frame < 0 else 1 if mains[c.named_frame] else 2,
+            inside[c.named_frame] / total if c.named_frame >= 0 else 0,
+            c.named_inside,
+            c.named_body,
+            c.named_comment,
+            len(_CUES.findall(b.text)) / max(4, b.words) ** 0.5 if b.words <= CUE_WORDS else 0,
+            b.text.endswith(_STOPS),
+            1 - group_own[i] / max(1, group_words[i]),
+            comments,
+            0,
+            0,
+        )
+    most = np.maximum.accumulate(own)
+    x[1:, FEATURES.index("longest_before")] = most[:-1]
+    x[:-1, FEATURES.index("longest_after")] = np.maximum.accumulate(own[::-1])[::-1][1:]
     return x
 
 
 class Tree:
     """A binary decision tree grown by Gini impurity; ties go to the first feature and the least cut."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 12):
         self.nodes: list[tuple[int, float, int, int]] = []  # feature or -1, cut or share, left, right
         self._grow(x, y.astype(float), depth, least)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int, least: int) -> int:
-        me = len(self.nodes)
+        me, n = len(self.nodes), len(y)
         self.nodes.append((-1, float(y.mean()), 0, 0))
-        if depth == 0 or y.min() == y.max():
+        if depth == 0 or y.min() == y.max() or n < 2 * least:
             return me
-        best = (2 * y.mean() * (1 - y.mean()) - 1e-12, -1, 0.0)
+        best = (y.mean() * (1 - y.mean()) * n - 1e-9, -1, 0.0)
         for j in range(x.shape[1]):
-            v = np.unique(x[:, j])
-            for c in (v[1:] + v[:-1]) / 2:
-                left = x[:, j] <= c
-                n = int(left.sum())
-                if min(n, len(y) - n) < least:
-                    continue
-                a, b = y[left].mean(), y[~left].mean()
-                g = (n * 2 * a * (1 - a) + (len(y) - n) * 2 * b * (1 - b)) / len(y)
-                if g < best[0] - 1e-12:
-                    best = (g, j, float(c))
+            order = np.argsort(x[:, j], kind="stable")
+            v, hits = x[order, j], np.cumsum(y[order])
+            at = np.flatnonzero(v[1:] > v[:-1]) + 1  # sizes of the left side
+            at = at[(at >= least) & (n - at >= least)]
+            if not len(at):
+                continue
+            a, b = hits[at - 1], hits[-1] - hits[at - 1]
+            g = a * (1 - a / at) + b * (1 - b / (n - at))
+            k = int(np.argmin(g))
+            if g[k] < best[0] - 1e-9:
+                best = (float(g[k]), j, float((v[at[k]] + v[at[k] - 1]) / 2))
         _, j, c = best
         if j >= 0:
             left = x[:, j] <= c
@@ -256,92 +143,39 @@ class Tree:
             at = np.where(feature[at] < 0, at, np.where(low, left[at], right[at]))
         return value[at]
 
-
-def _filler(n: int, seed: int) -> str:
-    """Neutral prose for the training pages; only its length matters."""
-    return " ".join("lorem" if (i * 7 + seed) % 11 else "ipsum," for i in range(n))
-
-
-def training_pages() -> list[tuple[str, int]]:
-    """The labelled table: pieces of pages in order, label 1 for article text. Each page is what a frame
-    puts around an article; '|' separates the pieces, '+' marks article pieces, numbers give the words."""
-    frames = (
-        "<nav><ul>|-l3|</ul></nav><div class='ad'>|-12|</div><article><h1>|+6|</h1><p>|+40|</p><p>|+3|</p><p>|+90|</p></article><footer>|-9|</footer>",
-        "<nav><ul>|-l1|</ul></nav><div class='ad'>|-70|</div><article><h1>|+1|</h1><p><b>|+8|</b><br><p>|+1|</p><p>|+260|</article><footer>|-25|</footer>",
-        "<header>|-5|</header><main><h1>|+9|</h1><p>|+120|</p><h2>|+3|</h2><ul><li>|+4|</li><li>|+15|</li></ul></main><aside>|-60|</aside><footer>|-20|</footer>",
-        "<div id='header'>|-12|</div><div id='content'><h1>|+7|</h1><p>|+55|</p><blockquote>|+30|</blockquote><p>|+2|</p></div><div id='sidebar'>|-45|</div><div id='footer'>|-11|</div>",
-        "<div class='cookie-notice'>|-35|</div><div class='menu'>|-l2|</div><div class='post'><h2>|+5|</h2><p>|+33|</p><p>|+1|</p></div><div class='comments'><p>|-40|</p><p>|-3|</p></div>",
-        "<article><header><h1>|+8|</h1></header><p>|+70|</p><aside>|-30|</aside><p>|+25|</p><div class='share'>|-4|</div></article><section class='comments'>|-80|</section>",
-        "<div class='content'><div class='advertisement'>|-22|</div><p>|+44|</p><form>|-6|</form><p>|+12|</p><div class='related'>|-l4|</div></div><div class='legal'>|-30|</div>",
-        "<p>|-l2|</p><h1>|+6|</h1><p>|+50|</p><p>|+9|</p><p>|+61|</p><p>|+l5|</p><p>|-l3|</p>",
-        "<div>|-l1|</div><div>|-l4|</div><div>|+35|</div><div>|+80|</div><div>|+4|</div><div>|-l2|</div>",
-        "<h1>|+9|</h1><p>|+130|</p><p>|+25|</p><ul><li>|+10|</li></ul><p>|+70|</p><div class='footer'>|-90|</div>",
-        "<div class='newsletter'>|-28|</div><main><article><p>|+20|</p><p>|+l9|</p><p>|+100|</p><div class='promo'>|-15|</div></article></main><div class='widget'>|-50|</div>",
-    )
-    pages = []
-    for k in range(6):
-        for n, frame in enumerate(frames):
-            for piece in frame.split("|"):
-                m = re.fullmatch(r"([+-])(l?)(\d+)", piece)
-                if not m:
-                    pages.append((piece, -1))
-                    continue
-                words = max(1, int(m[3]) * (10, 3, 15, 30, 60, 1)[k] // 10)
-                body = _filler(words, n + k)
-                if m[2]:
-                    link = f"<a href='#'>{body}</a>"
-                    body = f"{_filler(12, n)} {link} {_filler(9, k)}" if m[1] == "+" else f"<li>{link}</li>" * 3
-                pages.append((body, int(m[1] == "+")))
-            pages.append(("", -2))  # end of a page
-    return pages
+    def asked(self) -> set[str]:
+        """Names of the features that the tree splits on."""
+        return {FEATURES[j] for j, *_ in self.nodes if j >= 0}
 
 
-def training_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the training blocks; labels travel as a mark in front of each piece."""
-    xs, ys, page = [], [], ""
-    for piece, label in training_pages():
-        if label == -2:
-            found = blocks(page)
-            marks = [re.findall(r"([01])", b.text) for b in found]
-            for b in found:
-                b.words -= len(re.findall(r"[01]", b.text))
-            xs.append(features(found))
-            ys.append(np.array([int(m[0]) for m in marks]))
-            page = ""
-        elif label < 0:
-            page += piece
-        else:
-            page += re.sub(r"^((?:<[^>]*>)*)|(<li><a[^>]*>)", lambda m: f"{m[0]}{label} ", piece)
+def table(pages: Sequence[tuple[str, dict[str, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages; a block's label is that of the mark word in its text."""
+    xs, ys = [], []
+    for html, labels in pages:
+        page = read(html)
+        marks = [re.search(r"\bq\d+z", b.text) for b in page.blocks]
+        told = np.array([m is not None for m in marks], bool)
+        xs.append(features(page)[told])
+        ys.append(np.array([labels[m[0]] for m in marks if m], int))
     return np.concatenate(xs), np.concatenate(ys)
 
 
 @lru_cache(maxsize=1)
 def trained() -> Tree:
-    return Tree(*training_table())
+    return Tree(*table(labelled_pages(TRAINING_PAGES)))
 
 
-def _misnamed(found: Sequence[Block]) -> frozenset:
-    """Marks by class names ("with-sidebar") of elements around most of the page's words: on a page without any article
-    text they name the layout, not the content. Comments stay comments."""
-    words: Counter = Counter()
-    for b in found:
-        for m in b.marks:
-            words[m] += b.words
-    total = sum(b.words for b in found)
-    return frozenset(m for m, n in words.items() if m[2] and m[0] in FRAME - {"comment"} and n > 0.6 * total)
+def main_blocks(html: str | None, tree: Tree | None = None) -> list[Block]:
+    page = read(html or "")
+    if not page.blocks:
+        return []
+    keep = (tree or trained()).predict(features(page)) >= 0.5
+    return [b for b, k in zip(page.blocks, keep) if k]
 
 
-def main_text(page: str | None) -> str:
+def main_text(html: str | None, tree: Tree | None = None) -> str:
     """The article's blocks, one a line."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    keep = trained().predict(features(found)) >= 0.5
-    if not keep.any() and (wide := _misnamed(found)):
-        for b in found:
-            b.marks -= wide
-        keep = trained().predict(features(found)) >= 0.5
-    return "\n".join(b.text for b, k in zip(found, keep) if k)
+    return "\n".join(b.text for b in main_blocks(html, tree))
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -349,10 +183,12 @@ _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.str
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
+    tree = trained()
 
     def run(batches):
         for b in batches:
-            texts = [main_text(p) for p in b.column(2).to_pylist()]
+            # a page at a time: of the batch, only its Arrow buffers and the texts so far are held
+            texts = [main_text(p.as_py(), tree) for p in b.column(2)]
             yield batch(_OUT, b.column(0), b.column(1), texts, [len(t) for t in texts])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

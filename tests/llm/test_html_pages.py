@@ -1,8 +1,19 @@
-"""HTML extraction: optional tags left out."""
+"""HTML extraction: pages of unseen layouts, a recursive twin of the block reader, hostile markup, optional tags."""
 
+import html as entities
+import random
+import re
+import time
+import tracemalloc
+
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
+from headwater.llm import html_extract, queries
+from headwater.llm.html_blocks import read
 from headwater.llm.html_extract import main_text
+from headwater.llm.html_labels import labelled_pages
 
 WORDS = " ".join(["word"] * 40)
 ARTICLE = f"<article><h1>Title</h1><p>{WORDS}</p></article>"
@@ -16,3 +27,134 @@ def test_a_head_without_end_tag_keeps_the_text(head, body):
 
 def test_text_ends_a_head():
     assert main_text(f"<head><title>T</title>\n{WORDS}") == WORDS
+
+
+def test_the_tree_splits_on_neighbours_and_holds_on_other_pages():
+    """Pages that the tree hasn't seen: other seeds, and each kind of layout for itself."""
+    tree = html_extract.trained()
+    assert {"words", "link_density"} <= tree.asked() and any(f.endswith(("_before", "_after")) for f in tree.asked())
+    pages = labelled_pages(240, seed=77)
+    x, y = html_extract.table(pages)
+    hit = (tree.predict(x) >= 0.5) == y
+    assert hit.mean() > 0.97 and hit[y == 1].mean() > 0.96 and hit[y == 0].mean() > 0.96
+    neutral = [p for p in pages if not re.search(r"<(?:nav|footer|aside|article|main|form|dialog|header)\b|class='(?:nav|footer|ad|sidebar|cookie|comment)", p[0])]
+    x, y = html_extract.table(neutral)
+    assert len(neutral) > 20 and ((tree.predict(x) >= 0.5) == y).mean() > 0.93
+
+
+def test_tree_equals_a_walk_by_hand():
+    tree, (x, _) = html_extract.trained(), html_extract.table(labelled_pages(10, seed=5))
+
+    def walk(row, at=0):
+        f, v, left, right = tree.nodes[at]
+        return v if f < 0 else walk(row, left if row[f] <= v else right)
+
+    assert np.array_equal(tree.predict(x), [walk(r) for r in x])
+
+
+def test_neighbours_decide_between_equal_blocks():
+    """The same short line, with the same markup: text between paragraphs, a link list's label between links."""
+    line, para, links = "<div>A short line of words</div>", f"<div>{WORDS}. {WORDS}.</div>", "<div><a href=x>one two three</a></div>" * 3
+    assert "A short line of words" in main_text(f"{links}{para}{line}{para}{links}")
+    assert "A short line of words" not in main_text(f"{para}{para}{links}{line}{links}")
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='c1'>We use cookies to give you the best experience.</div><div class='c2'><h1>Title here</h1><p>{WORDS}.</p><p>{WORDS}.</p></div><div class='x'>Sign in to leave a reply</div><div class='z'>Copyright 2020 Some Site</div>", f"Title here\n{WORDS}.\n{WORDS}."),
+        (f"<article><h1>T</h1><div class='more'><p>{WORDS}.</p></div><p class='side note'>a {WORDS}.</p><p class='story top-bottom'>b {WORDS}.</p></article>", f"T\n{WORDS}.\na {WORDS}.\nb {WORDS}."),
+        (f"<body><h1>Title</h1><div class='layout has-sidebar'><article><p>{WORDS}.</p></article></div><footer>{WORDS}</footer>", f"Title\n{WORDS}."),
+        (f"<article><p>{WORDS}.</p><p>All rights reserved.</p></article><footer>All rights reserved.</footer>", f"{WORDS}.\nAll rights reserved."),
+    ],
+)
+def test_names_do_not_decide_alone(page, want):
+    assert main_text(page) == want
+
+
+def test_pages_of_the_tables(spark):
+    """Whole pages of the query against the article's blocks, cut out by a pattern."""
+    folder = "/root/testdata/sf0.001"
+    rows = pq.read_table(f"{folder}/pages.parquet").to_pylist()
+    got = {r.page_id: r for r in queries.op2_html_extraction(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        article = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        pieces = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->", "", article, flags=re.S))
+        lines = [re.sub(r"\s+", " ", entities.unescape(re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", p))).strip() for p in pieces]
+        assert got[r["page_id"]].text == "\n".join(x for x in lines if x)
+        assert got[r["page_id"]].n_chars == len(got[r["page_id"]].text) and got[r["page_id"]].url == r["url"]
+
+
+def _random_page(rng):
+    """A well-formed page and its blocks, made together."""
+    out, blocks = [], [[]]
+
+    def cut():
+        blocks.append([])
+
+    def grow(depth):
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.random()
+            if k < 0.45:
+                raw = rng.choice(["one two", "a &amp; b", "x\n\ty", "&#8212;", " ", "<!-- p>q -->", "<br>", "fin.", "<script>if(a<b)'</p>'</script>", "1 < 2"])
+                out.append(raw)
+                said = "" if raw[:2] in ("<!", "<s") else " " if raw == "<br>" else entities.unescape(raw)
+                blocks[-1].append(said)
+            elif depth < 5:
+                tag = rng.choice(["div", "section", "blockquote", "b", "i", "span"])
+                inline = tag in "b i span"
+                name = rng.choice(["", " class=c", " title='a > b'", ' data-x="</div>"', "\n id = k "])
+                out.append(f"<{tag}{name}>")
+                None if inline else cut()
+                grow(depth + 1)
+                out.append(f"</{tag.upper()} >")
+                None if inline else cut()
+
+    grow(0)
+    return "".join(out), [t for b in blocks if (t := " ".join("".join(b).split()))]
+
+
+def test_blocks_equal_those_of_a_recursive_twin():
+    rng = random.Random(3)
+    for _ in range(400):
+        page, want = _random_page(rng)
+        assert [b.text for b in read(page).blocks] == want, page
+
+
+def test_misnested_and_unclosed_tags():
+    texts = lambda page: [b.text for b in read(page).blocks]
+    assert texts("<p><b>one<br>two<p>three</b> four</p>five") == ["one two", "three four", "five"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul>d</ul>") == ["a", "b", "c", "d"]
+    assert texts("<div><table><tr><td>a<td>b</div>c<tr><td>d</table>e") == ["a", "bc", "d", "e"]
+    assert texts("a<!-->b<!--->c<!-- x --!>d<!x>e</ >f<?php ?>g") == ["abcdefg"]
+    assert texts("one <two three") == ["one"] and texts("a < b <3 c") == ["a < b <3 c"]
+    assert texts("<a href=x>l <p>m</a>n</p>") == ["l", "mn"] and [b.link_words for b in read("<a href=x>l <p>m</a>n</p>").blocks] == [1, 1]
+    assert texts("<p hidden>a</p><p style='display : none'>b</p><p aria-hidden=true>c</p><p class=hidden>d</p><h2>e</h3>f") == ["d", "e", "f"]
+
+
+HOSTILE = {
+    "quote in a tag's name": "<a'" * 33_000, "open elements": "<nav>" * 20_000, "open quotes": '<a x="' * 17_000, "signs": "<" * 100_000, "comments": "<!--" * 25_000, "cells in paragraphs": "<p><td><span><div>" * 5_500,
+    "misnested": "<b><p></b>" * 10_000, "depth": "<div>" * 20_000 + "deep", "sections": "<![CDATA[" * 11_000, "scripts": "<script>" * 12_500, "references": "&" * 100_000, "open links": "<li><a>x" * 12_500,
+    "attributes": "<a " + 'b="" ' * 20_000 + ">x", "a long name": '<p class="' + "a-" * 50_000 + '">x', "equals": "<a " + "=" * 100_000, "spaces": "<a" + " " * 100_000, "ends": "</p>" * 25_000, "headings": "<h1></h2>" * 11_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_little_time_and_memory(name):
+    page, tree = HOSTILE[name], html_extract.trained()
+    t = time.perf_counter()
+    assert isinstance(main_text(page, tree), str)
+    small = time.perf_counter() - t
+    assert small < 1.5
+    tracemalloc.start()
+    main_text(page, tree)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_a_very_long_page_is_read_whole():
+    page = "<html><nav><a href=x>Home</a></nav><article>" + "".join(f"<p>w{i} {WORDS}.</p>" for i in range(20_000)) + "</article><footer>© x</footer>"
+    lines = main_text(page).split("\n")
+    assert len(lines) == 20_000 and lines[-1] == f"w19999 {WORDS}."
