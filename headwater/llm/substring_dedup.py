@@ -1,20 +1,22 @@
 """Operator 1, substring dedup with a compressed FM-index per shard.
 
-A window is ``WINDOW`` consecutive words. Every window has an anchor: the least hash among its runs of
-``GRAM`` words. Equal windows have equal anchors, so the anchor tells the shard. A document is a chain of
-segments, each the words of consecutive windows of one anchor.
-
-1. Anchors of all documents; those seen in two documents or more are candidates.
-2. The segments of candidate anchors, each different one once, with the least and the greatest doc_id it
-   occurs in. Copies collapse here, so a shard holds different contents only. Where an anchor still has more
-   than ``HOT`` contents, its segments are cut into single windows that go to shards by their own hash.
-3. Each shard builds FM-indexes (suffix array, BWT in a wavelet matrix) over blocks of its segments and
-   streams the segments through backward search. Where the match has ``WINDOW`` words or more, the suffix
-   array interval lies in a class of suffixes that agree on that many words; the least doc_id of the class
-   is the first document that has the window. Words are compared themselves, so hash collisions in step 1
-   only add candidates.
-4. Intervals go back to the documents that hold the segment; a window goes where the first holder has a
-   smaller doc_id.
+A window is ``WINDOW`` consecutive words. Every window has an anchor: the least hash among its runs of so many words
+(``LEVELS``). Equal windows have equal anchors. A document is a chain of segments, each the words of consecutive windows
+of one anchor. Level by level:
+
+1. Anchors of the windows that are open (at first all); those of two documents or more go on.
+2. The segments of these anchors, each different one once, with the least and the greatest doc_id it occurs in. An
+   anchor's leader is its least doc_id.
+3. Shards, by anchor: the leaders' segments are put into an FM-index, and the segments of all other documents stream
+   through its backward search. Where the matching statistics reach ``WINDOW``, the leader has the window, and the
+   stretch is reported. Where they don't, the window stays open. Segments of a frequent anchor are dealt out in chunks,
+   each with the leader's.
+4. A stretch goes from every document that holds the segment, but for the leader, whose windows are settled: no smaller
+   doc_id has their anchor. A window that isn't the leader's isn't in any smaller document of the anchor yet known, so
+   its holders compare among themselves on the next level, by an anchor of more words.
+
+On the last level the anchor is that of the whole window, so that the leader is the first of its holders: nothing stays
+open, whatever the texts and however many contents share an anchor. Anchors and digests route; the index decides.
 
 Cases: null text has no words; texts under ``WINDOW`` words are kept; a window repeated within one document
 only stays; rows with a null doc_id, which no order can place, neither lose words nor take any; repeated rows
@@ -27,7 +29,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +37,21 @@ from ._hashes import WordHashes, mix, roll, sliding_min
 from .fm_index import FMIndex
 
 WINDOW = 50
-GRAM = 8
+#: Words in the runs whose least hash is a window's anchor, level by level; the last is the window.
+LEVELS = (8, 20, 35, WINDOW)
 #: Windows in a segment at most; longer runs of one anchor (texts that repeat themselves) are cut.
 RUN = 256
-#: Words in one index, but for what a single anchor's segments need beyond it.
+#: Words of a shard's texts that are indexed and streamed together, but for what a single chunk needs beyond it.
 BLOCK = 600_000
-#: Different contents of one anchor beyond which its segments are cut into single windows.
-HOT = 4_000
+#: Contents of an anchor that are streamed together; each chunk gets the leader's texts.
+CHUNK = 256
+#: Parts in which the rows of an anchor with several chunks are joined with its figures.
+PARTS = 64
 
 
-def segments(docs: list[list[bytes]], hashes: WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document number, first word, windows, anchor) of the segments of some documents."""
+def segments(docs: list[list[bytes]], hashes: WordHashes, gram: int, window: int = WINDOW, open_runs: list | None = None) -> tuple[np.ndarray, ...]:
+    """(document number, first word, windows, anchor) of the segments of some documents; ``open_runs``: for each document
+    the runs of windows that count, as (first, n)."""
     long = [i for i, w in enumerate(docs) if len(w) >= window]
     if not long:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
@@ -58,14 +63,17 @@ def segments(docs: list[list[bytes]], hashes: WordHashes, window: int = WINDOW,
     owner = np.repeat(np.arange(len(long)), size)[: len(least)]
     at = np.arange(len(least))
     inside = at + window <= ends[owner]
+    if open_runs is not None:
+        inside &= _covered(len(least), [(int(start[j]) + f, n) for j, i in enumerate(long) for f, n in open_runs[i] or ()])
     new = np.ones(len(least), bool)
-    new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
     head = np.maximum.accumulate(np.where(new, at, 0))
     new |= (at - head) % RUN == 0
     new &= inside
     first = np.flatnonzero(new)
-    stop = np.concatenate((first[1:], [len(least)]))
-    stop = np.minimum(stop, ends[owner[first]] - window + 1)
+    # the run ends where the next begins, or where windows stop counting
+    after = np.concatenate((np.flatnonzero(np.diff(inside.astype(np.int8)) == -1) + 1, [len(least)]))
+    stop = np.minimum(np.concatenate((first[1:], [len(least)])), after[np.searchsorted(after, first, "right")])
     return np.array(long)[owner[first]], first - start[owner[first]], stop - first, least[first].view(np.int64)
 
 
@@ -84,23 +92,38 @@ def _groups(texts, ids, words: int = 1_000_000):
         yield numbers, held
 
 
+def _covered(n: int, runs) -> np.ndarray:
+    """True for the places of ``n`` that a run (first, length) covers."""
+    change = np.zeros(n + 1, np.int64)
+    for first, k in runs:
+        change[first] += 1
+        change[first + k] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
 _SCANNED = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string())])
 _SCANNED_DDL = "doc_id long, anchor long, n_words long, sha256 string"
 _SEGMENT = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("digest", pa.binary()), ("content", pa.binary()), ("row", pa.int64())])
 _SEGMENT_DDL = "anchor long, doc_id long, first int, windows int, digest binary, content binary, row long"
-_FOUND = pa.schema([("digest", pa.binary()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("first_doc", pa.list_(pa.int64()))])
-_FOUND_DDL = "digest binary, at array<int>, n array<int>, first_doc array<long>"
+_FOUND = pa.schema([("digest", pa.binary()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("gone", pa.list_(pa.bool_())), ("source", pa.int64())])
+_FOUND_DDL = "digest binary, at array<int>, n array<int>, gone array<boolean>, source long"
+
 
+def _pairs(runs) -> list | None:
+    return None if runs is None else [(r["first"], r["n"]) for r in runs]
 
-def _scan(summaries: bool):
-    """Rows (doc_id, anchor) for the segments and, with ``summaries``, (doc_id, n_words, sha256) for each row."""
+
+def _scan(gram: int, summaries: bool):
+    """Rows (doc_id, anchor) for the segments and, with ``summaries``, (doc_id, n_words, sha256) for each row. A third
+    column tells the open runs of windows; without it all are open."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            told = b.column(2).to_pylist() if b.num_columns > 2 else None
             for numbers, docs in _groups(texts, ids):
-                owner, _, _, anchor = segments(docs, hashes)
+                owner, _, _, anchor = segments(docs, hashes, gram, open_runs=told and [_pairs(told[i]) for i in numbers])
                 of = np.array([ids[i] or 0 for i in numbers], np.int64)
                 none = [None] * len(anchor)
                 yield batch(_SCANNED, of[owner], anchor, none, none)
@@ -112,100 +135,100 @@ def _scan(summaries: bool):
     return run
 
 
-def _candidates(batches):
-    """Segments of the documents' candidate anchors; a content goes out once from each task."""
-    hashes, sent = WordHashes(), set()
-    for b in batches:
-        ids, texts, wanted, rows = (b.column(i) for i in range(4))
-        ids, texts, rows = ids.to_pylist(), texts.to_pylist(), rows.to_pylist()
-        for numbers, docs in _groups(texts, ids):
-            owner, first, windows, anchor = segments(docs, hashes)
-            out = []
-            lists = [np.asarray(wanted[i].values) if wanted[i].is_valid else np.zeros(0, np.int64) for i in numbers]
-            cuts = np.searchsorted(owner, np.arange(len(numbers) + 1))
-            for j, want in enumerate(lists):
-                lo, hi = cuts[j], cuts[j + 1]
-                if lo == hi or not len(want):
-                    continue
-                for k in (lo + np.flatnonzero(np.isin(anchor[lo:hi], want))).tolist():
-                    content = b" ".join(docs[j][first[k] : first[k] + windows[k] + WINDOW - 1])
-                    digest = xxhash.xxh3_128_digest(content)
-                    if len(sent) > 2_000_000:
-                        sent.clear()
-                    new = digest not in sent
-                    sent.add(digest)
-                    out.append((int(anchor[k]), ids[numbers[j]], int(first[k]), int(windows[k]), digest, content if new else None, rows[numbers[j]]))
-            if out:
-                yield batch(_SEGMENT, *zip(*out))
-
-
-def _single_windows(batches):
-    """(anchor, doc_id, first, windows, digest, content, row) of hot segments, cut into single windows."""
-    for b in batches:
-        out = []
-        for _, doc_id, first, windows, content, row in zip(*(b.column(i).to_pylist() for i in range(6))):
-            words = content.split(b" ")
-            for i in range(windows):
-                one = b" ".join(words[i : i + WINDOW])
-                out.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), doc_id, first + i, 1, xxhash.xxh3_128_digest(one), one, row))
-            if len(out) > 20_000:
-                yield batch(_SEGMENT, *zip(*out))
+def _candidates(gram: int):
+    """Segments of the documents' anchors that others have; a content goes out once from each task."""
+
+    def run(batches):
+        hashes, sent = WordHashes(), set()
+        for b in batches:
+            ids, texts, wanted, rows = (b.column(i) for i in range(4))
+            ids, texts, rows = ids.to_pylist(), texts.to_pylist(), rows.to_pylist()
+            told = b.column(4).to_pylist() if b.num_columns > 4 else None
+            for numbers, docs in _groups(texts, ids):
+                owner, first, windows, anchor = segments(docs, hashes, gram, open_runs=told and [_pairs(told[i]) for i in numbers])
                 out = []
-        if out:
-            yield batch(_SEGMENT, *zip(*out))
+                cuts = np.searchsorted(owner, np.arange(len(numbers) + 1))
+                for j, i in enumerate(numbers):
+                    lo, hi = cuts[j], cuts[j + 1]
+                    if lo == hi or not wanted[i].is_valid:
+                        continue
+                    for k in (lo + np.flatnonzero(np.isin(anchor[lo:hi], np.asarray(wanted[i].values)))).tolist():
+                        content = b" ".join(docs[j][first[k] : first[k] + windows[k] + WINDOW - 1])
+                        digest = hashlib.blake2b(content, digest_size=16).digest()
+                        if len(sent) > 2_000_000:
+                            sent.clear()
+                        new = digest not in sent
+                        sent.add(digest)
+                        out.append((int(anchor[k]), ids[i], int(first[k]), int(windows[k]), digest, content if new else None, rows[i]))
+                if out:
+                    yield batch(_SEGMENT, *zip(*out))
+
+    return run
 
 
-def match_block(contents: list[list[bytes]], first_doc: np.ndarray, last_doc: np.ndarray, window: int = WINDOW):
-    """For each content, its intervals of windows as (at, n, first_doc): runs of windows with the least
-    doc_id among all contents that have the window. Intervals that no holder of the content loses are left
-    out."""
+def search_block(indexed: list[tuple[int, list[bytes]]], streamed: list[tuple[int, list[bytes]]], window: int = WINDOW):
+    """Windows of the streamed texts that indexed texts of the same anchor have, as (number of the text, at, n, gone):
+    stretches of windows in order, found or not. Texts come as (anchor, words)."""
     number: dict[bytes, int] = {}
-    texts = [np.fromiter((number.setdefault(w, len(number) + 1) for w in c), np.int64, len(c)) for c in contents]
-    index = FMIndex(texts, window)
-    minima = index.class_minima(first_doc)
-    n_windows = np.array([max(0, len(t) - window + 1) for t in texts], np.int64)
+    texts = [np.fromiter((number.setdefault(w, len(number) + 1) for w in c), np.int64, len(c)) for _, c in indexed]
+    index = FMIndex(texts)
+    del texts
+    queries = [np.fromiter((number.get(w, 0) for w in c), np.int64, len(c)) for _, c in streamed]
+    n_windows = np.array([max(0, len(q) - window + 1) for q in queries], np.int64)
     base = np.concatenate(([0], np.cumsum(n_windows)))
-    least = np.zeros(int(base[-1]), np.int64)
-    seen = np.zeros(len(least), bool)
-    for who, at, matched, lo in index.matching_statistics(texts):
+    found = np.zeros(int(base[-1]), bool)
+    place = np.zeros(int(base[-1]), np.int64)
+    for who, at, matched, lo in index.matching_statistics(queries):
         hit = matched >= window
         slot = base[who[hit]] + at[hit]
-        least[slot] = minima[index.class_of[lo[hit]]]
-        seen[slot] = True
-    assert seen.all(), "a segment of the shard isn't found in its own index"
-    out = []
-    for j in range(len(texts)):
-        m = least[base[j] : base[j + 1]]
-        if not len(m):
-            continue
-        new = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-        size = np.diff(np.concatenate((new, [len(m)])))
-        lose = m[new] < last_doc[j]
-        if lose.any():
-            out.append((j, new[lose].tolist(), size[lose].tolist(), m[new][lose].tolist()))
-    return out
-
-
-def _shard(batches):
-    """Rows (anchor, digest, content, first, last) sorted by anchor; an anchor's rows share a block."""
-    held, words, anchor = [], 0, None
-
-    def done():
-        found = match_block([c for _, c, _, _ in held], np.array([f for _, _, f, _ in held], np.int64), np.array([x for *_, x in held], np.int64))
-        return batch(_FOUND, *zip(*((held[j][0], at, n, m) for j, at, n, m in found))) if found else None
-
-    for b in batches:
-        for a, digest, content, first, last in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if words >= BLOCK and a != anchor:
-                if (out := done()) is not None:
-                    yield out
-                held, words = [], 0
-            anchor = a
-            w = content.split(b" ")
-            words += len(w)
-            held.append((digest, w, first, last))
-    if held and (out := done()) is not None:
-        yield out
+        found[slot] = True
+        place[slot] = lo[hit]
+    edge = np.zeros(len(found) + 1, bool)
+    edge[base] = True
+    edge[1:-1] |= found[1:] != found[:-1]
+    starts = np.flatnonzero(edge[:-1])
+    size = np.diff(np.concatenate((starts, [len(found)])))
+    owner = np.searchsorted(base, starts, "right") - 1
+    # where the index has a stretch: the text there must be of the same anchor, as equal windows are
+    gone = found[starts]
+    told = np.array([a for a, _ in indexed], np.int64)[index.text_of(index.locate(place[starts[gone]]))] if gone.any() else np.zeros(0, np.int64)
+    if np.any(told != np.array([a for a, _ in streamed], np.int64)[owner[gone]]):
+        raise ValueError("equal windows with different anchors")
+    return owner, starts - base[owner], size, gone
+
+
+def _shard(block: int):
+    """Over rows (anchor, chunk, digest, content, leads, streams, source) sorted by the first two; a chunk stays together."""
+
+    def run(batches):
+        indexed, streamed, names, words, key = [], [], [], 0, None
+
+        def done():
+            if not streamed:
+                return None
+            owner, at, n, gone = search_block(indexed, streamed)
+            cuts = np.searchsorted(owner, np.arange(len(streamed) + 1)).tolist()
+            return batch(_FOUND, *zip(*((names[j][0], at[a:b], n[a:b], gone[a:b], names[j][1]) for j, (a, b) in enumerate(zip(cuts, cuts[1:])))))
+
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
+                anchor, chunk, digest, content, leads, streams, source = row
+                if words >= block and key != (anchor, chunk):
+                    if (out := done()) is not None:
+                        yield out
+                    indexed, streamed, names, words = [], [], [], 0
+                key = (anchor, chunk)
+                w = content.split(b" ")
+                words += len(w)
+                if leads:
+                    indexed.append((anchor, w))
+                if streams:
+                    streamed.append((anchor, w))
+                    names.append((digest, source))
+        if (out := done()) is not None:
+            yield out
+
+    return run
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -219,31 +242,65 @@ def wanted_anchors(scanned: DataFrame) -> DataFrame:
     return cut(anchors.join(shared.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")))
 
 
+def _routes(parts: DataFrame) -> DataFrame:
+    """(digest, anchor, source, leads, streams, home, chunks) of each content. Rows of an anchor with several chunks meet
+    its figures in ``PARTS`` parts; no text moves."""
+    keys = parts.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    keys = cut(keys.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int")))
+    # two steps: the parts of an anchor, then the anchor
+    figures = keys.groupBy("anchor", "part").agg(F.min("first").alias("source"), F.count("*").alias("n"))
+    figures = figures.groupBy("anchor").agg(F.min("source").alias("source"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), F.collect_list("part").alias("parts"))
+    told = keys.join(figures.select("anchor", "source", "chunks", F.explode("parts").alias("part")), ["anchor", "part"])
+    return told.select(
+        "digest", "anchor", "source", "chunks",
+        (F.col("first") == F.col("source")).alias("leads"),
+        (F.col("last") > F.col("source")).alias("streams"),
+        F.pmod(F.xxhash64("digest", F.lit(1)), "chunks").cast("int").alias("home"),
+    )
+
+
+def _sharded(parts: DataFrame) -> DataFrame:
+    """(anchor, chunk, digest, content, leads, streams, source): the rows of the shards, by anchor and chunk. A leader's
+    text goes to all chunks of its anchor and is itself looked up in one of them."""
+    text = parts.where("content is not null").groupBy("digest").agg(F.first("content").alias("content"))
+    copies = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))
+    rows = text.join(_routes(parts), "digest").select("*", F.explode(copies).alias("chunk")).withColumn("streams", F.col("streams") & (F.col("home") == F.col("chunk")))
+    rows = rows.select("anchor", "chunk", "digest", "content", "leads", "streams", "source")
+    return rows.repartition(partitions(parts.sparkSession), "anchor", "chunk").sortWithinPartitions("anchor", "chunk")
+
+
+def one_level(held: DataFrame, gram: int) -> DataFrame:
+    """(doc_id, row, first, n, gone): stretches of windows of documents that aren't leaders of their anchor, found in
+    the leader or not. ``held``: doc_id, text, wanted, row and, if not all windows are open, runs."""
+    rest = ["runs"] if "runs" in held.columns else []
+    parts = stored(held.select("doc_id", "text", "wanted", "row", *rest).mapInArrow(_candidates(gram), _SEGMENT_DDL))
+    # repeated rows of a document give the same segments, which changes nothing
+    found = _sharded(parts).mapInArrow(_shard(BLOCK), _FOUND_DDL)
+    places = parts.select("digest", "doc_id", "row", F.col("first").alias("at0"))
+    hits = places.join(found, "digest").where("doc_id > source").select("doc_id", "row", "at0", F.explode(F.arrays_zip("at", "n", "gone")).alias("r"))
+    return stored(hits.select("doc_id", "row", (F.col("at0") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"), F.col("r.gone").alias("gone")))
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+
+
 def repeated_windows(held: DataFrame) -> DataFrame:
     """(doc_id, row, runs array<struct<first, n>>): runs of windows that go, for rows that lose some. ``held``: the
-    documents that have anchors in common with others (doc_id, text as bytes, row, wanted). ``row`` is a hash of the
-    text: rows of one doc_id that differ in text each have their own runs."""
-    # repeated rows of a document give the same segments, which changes nothing
-    parts = stored(held.select("doc_id", "text", "wanted", "row").mapInArrow(_candidates, _SEGMENT_DDL))
-    contents = cut(
-        parts.groupBy("digest").agg(
-            F.first("anchor").alias("anchor"), F.first("content", ignorenulls=True).alias("content"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
-        )
-    )
-    places = parts.select("anchor", "digest", "doc_id", "row", "first").withColumnRenamed("first", "at0")
-    hot = contents.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor")
-    index = contents.select("anchor", "digest", "content", "first", "last")
-    if hot.limit(1).count():
-        hot = cut(hot)
-        text = contents.select("digest", "content")
-        rows = parts.drop("content").join(hot, "anchor", "left_semi").join(text, "digest").select("anchor", "doc_id", "first", "windows", "content", "row")
-        single = stored(rows.mapInArrow(_single_windows, _SEGMENT_DDL))
-        own = single.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        index = index.join(hot, "anchor", "left_anti").unionByName(own.where("first < last"))
-        places = places.join(hot, "anchor", "left_anti").unionByName(single.select("anchor", "digest", "doc_id", "row", F.col("first").alias("at0")))
-    found = index.repartition(partitions(held.sparkSession), "anchor").sortWithinPartitions("anchor").select("anchor", "digest", "content", "first", "last").mapInArrow(_shard, _FOUND_DDL)
-    runs = places.join(found, "digest").select("doc_id", "row", "at0", F.explode(F.arrays_zip("at", "n", "first_doc")).alias("r")).where("r.first_doc < doc_id")
-    return runs.groupBy("doc_id", "row").agg(F.collect_list(F.struct((F.col("at0") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"))).alias("runs"))
+    documents that have anchors of the first level in common with others (doc_id, text as bytes, row, wanted). ``row`` is a
+    hash of the text: rows of one doc_id that differ in text each have their own runs."""
+    gone = None
+    for k, gram in enumerate(LEVELS):
+        if k:  # what is still open, with the anchors that it shares on this level
+            left = stored(held.select("doc_id", "text", "row").join(_runs(level.where("not gone")), ["doc_id", "row"]))
+            now = left.join(wanted_anchors(cut(left.select("doc_id", "text", "runs").mapInArrow(_scan(gram, False), _SCANNED_DDL))), "doc_id")
+        else:
+            now = held
+        level = one_level(now, gram)
+        gone = level.where("gone") if gone is None else gone.unionByName(level.where("gone"))
+        if level.where("not gone").isEmpty():
+            break
+    return _runs(gone)
 
 
 def keep_mask(n_words: int, runs, window: int = WINDOW) -> np.ndarray:
@@ -273,7 +330,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             yield batch(schema, *(zip(*rows) if rows else [[]] * 4))
 
     base = _base(docs)
-    scanned = cut(base.select("doc_id", "text").mapInArrow(_scan(True), _SCANNED_DDL))
+    scanned = cut(base.select("doc_id", "text").mapInArrow(_scan(LEVELS[0], True), _SCANNED_DDL))
     wanted = wanted_anchors(scanned)
     # only documents that share an anchor are shuffled; of the others the scan has told all
     held = stored(base.join(wanted, "doc_id"))
@@ -286,7 +343,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages: texts that lose words become their kept words joined by one
     space (``n_chars``, if there, follows); all others stay as they are."""
     base = _base(docs)
-    held = base.join(wanted_anchors(cut(base.select("doc_id", "text").mapInArrow(_scan(False), _SCANNED_DDL))), "doc_id")
+    held = base.join(wanted_anchors(cut(base.select("doc_id", "text").mapInArrow(_scan(LEVELS[0], False), _SCANNED_DDL))), "doc_id")
     runs = repeated_windows(held).select(F.col("doc_id").alias("__hw_id"), F.col("row").alias("__hw_row"), F.col("runs").alias("__hw_runs"))
     joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("__hw_id")) & (F.xxhash64(text_bytes()) == F.col("__hw_row")), "left").drop("__hw_id", "__hw_row")
     names = docs.columns

@@ -98,10 +98,10 @@ def brute_substring(texts, window=50):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot", "block"), [(1, 4000, 600_000), (2, 2, 600_000), (3, 4000, 300)])
-def test_substring_dedup_equals_brute_force(spark, monkeypatch, seed, hot, block):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+@pytest.mark.parametrize(("seed", "chunk", "block", "levels"), [(1, 256, 600_000, (8, 20, 35, 50)), (2, 2, 600_000, (3, 10, 50)), (3, 3, 300, (1, 2, 50)), (4, 256, 600_000, (50,))])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, seed, chunk, block, levels):
+    for name, value in (("CHUNK", chunk), ("BLOCK", block), ("LEVELS", levels), ("PARTS", 3)):
+        monkeypatch.setattr(substring_dedup, name, value)
     texts = corpus(seed) + ["r s " * 400, "q " + "r s " * 300]
     got = substring_dedup.substring_dedup(docs_of(spark, texts)).collect()
     assert {tuple(r) for r in got} == brute_substring(texts)
@@ -115,24 +115,86 @@ def test_drop_repeats_cuts_texts(spark):
     assert substring_dedup.drop_repeats(docs.limit(0)).count() == 0
 
 
-def test_fm_index_counts_and_restarts():
+def common_windows_corpus(seed, n=40):
+    """Texts in which a few words are so frequent that anchors have many different contents, on every level."""
+    rng = random.Random(seed)
+    phrase, other = prose(rng, 30), prose(rng, 45)
+    texts = []
+    for i in range(n):
+        t = prose(rng, rng.randrange(30), 20) + phrase + prose(rng, 20, 3)
+        if i % 3:
+            t += other + prose(rng, rng.randrange(8), 2) + phrase
+        if i % 4 == 0 and texts:
+            t = texts[rng.randrange(len(texts))].split()[rng.randrange(15) :] + t
+        texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substring_dedup_of_many_contents_on_one_anchor(spark, monkeypatch, seed):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 4)
+    texts = common_windows_corpus(seed)
+    got = substring_dedup.substring_dedup(docs_of(spark, texts).repartition(3)).collect()
+    assert {tuple(r) for r in got} == brute_substring(texts)
+
+
+def test_windows_that_the_leader_lacks_stay_open(spark):
+    """The index decides: the anchor of the first level is shared, its leader lacks the window, a later level finds it."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    held = docs_of(spark, [" ".join(x) for x in (a, b, a[:55] + b, a[:52] + ["x"] * 3)]).select("doc_id", substring_dedup.text_bytes().alias("text")).selectExpr("*", "xxhash64(text) AS row")
+    scanned = held.select("doc_id", "text").mapInArrow(substring_dedup._scan(8, False), substring_dedup._SCANNED_DDL)
+    level = substring_dedup.one_level(held.join(substring_dedup.wanted_anchors(scanned), "doc_id"), 8).collect()
+    assert {r.doc_id for r in level if r.gone} == {2, 3} and any(not r.gone for r in level)
+
+
+def brute_statistics(texts, query):
+    """Longest match at each position, by comparing with every place of every text."""
+    out = []
+    for a in range(len(query)):
+        best = 0
+        for s in texts:
+            for i in range(len(s)):
+                n = 0
+                while i + n < len(s) and a + n < len(query) and s[i + n] == query[a + n]:
+                    n += 1
+                best = max(best, n)
+        out.append(best)
+    return out
+
+
+def test_matching_statistics_equal_brute_force():
     rng = random.Random(5)
-    texts = [np.array([rng.randrange(1, 4) for _ in range(rng.randrange(1, 40))]) for _ in range(30)]
-    index = fm_index.FMIndex(texts, 4)
-    joined = [tuple(t.tolist()) for t in texts]
-    for c in range(4):
-        n = sum(int((index.text == c).sum()) for _ in [0])
-        assert index.c[c + 1] - index.c[c] == n
-    query = [np.array([1, 2, 9, 3, 1])]
-    steps = {int(at[0]): int(m[0]) for _, at, m, _ in index.matching_statistics(query)}
-    assert steps[2] == 0 and steps[4] == 1 and steps[1] == 1
-    minima = index.class_minima(np.arange(30))
-    for who, at, matched, lo in index.matching_statistics(texts):
-        for j, a, m, x in zip(who.tolist(), at.tolist(), matched.tolist(), lo.tolist()):
-            assert m == len(texts[j]) - a
-            if m >= 4:
-                w = joined[j][a : a + 4]
-                assert minima[index.class_of[x]] == next(i for i, t in enumerate(joined) if any(t[k : k + 4] == w for k in range(len(t))))
+    for _ in range(40):
+        k = rng.choice([2, 3, 5, 30])
+        texts = [np.array([rng.randrange(1, k + 1) for _ in range(rng.randrange(1, 40))]) for _ in range(rng.randrange(1, 12))]
+        index, joined = fm_index.FMIndex(texts), [t.tolist() for t in texts]
+        queries = [np.array([rng.randrange(1, k + 3) for _ in range(rng.randrange(0, 40))], np.int64) for _ in range(5)] + [np.concatenate((t[3:20], t[:9])) for t in texts[:3]]
+        want = [brute_statistics(joined, q.tolist()) for q in queries]
+        for who, at, matched, lo in index.matching_statistics(queries):
+            place = index.locate(lo)
+            for j, a, m, p, t in zip(who.tolist(), at.tolist(), matched.tolist(), place.tolist(), index.text_of(place).tolist()):
+                assert m == want[j][a]
+                p -= int(index.starts[t])
+                assert m == 0 or joined[t][p : p + m] == queries[j].tolist()[a : a + m]
+
+
+def test_long_matches_are_never_told_short():
+    """Texts that repeat themselves beyond the cap of the common prefixes."""
+    rng = random.Random(6)
+    base = [rng.randrange(1, 4) for _ in range(150)]
+    texts = [np.array(base), np.array(base[10:140] + [5] + base[:90]), np.array([1, 2] * 100)]
+    index = fm_index.FMIndex(texts)
+    for query in (base[5:120] + [9] + base[20:], [1, 2] * 90 + [3], base[60:] + base[:100]):
+        want = brute_statistics([t.tolist() for t in texts], query)
+        for _, at, matched, _ in index.matching_statistics([np.array(query)]):
+            assert min(want[at[0]], fm_index.LCP_CAP) <= matched[0] <= want[at[0]]
+    assert fm_index.FMIndex([]).size == 0
+
+
+def test_the_index_is_smaller_than_its_text():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(1, 5000, 300) for _ in range(300)]
+    assert fm_index.FMIndex(texts).nbytes < sum(t.nbytes for t in texts)
 
 
 # --- Jaccard join

@@ -12,9 +12,9 @@ ROWS = [(1, COMMON), (2, f"{OWN} {COMMON}"), (2, "short"), (2, f"{COMMON} tail")
 KEPT = [(1, COMMON), (2, OWN), (2, "short"), (2, "tail"), ROWS[4]]
 
 
-@pytest.mark.parametrize("hot", [4000, 0])
-def test_each_text_loses_its_own_passages(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("chunk", [256, 1])
+def test_each_text_loses_its_own_passages(spark, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in substring_dedup.drop_repeats(docs).collect()) == sorted(KEPT)
     want = sorted((i, len(t.split()), len(t.split()) - len(k.split()), hashlib.sha256(k.encode()).hexdigest()) for (i, t), (_, k) in zip(ROWS, KEPT))
