@@ -31,7 +31,11 @@ from ._common import batch
 #: Entries of a worker's table of encoded chunks; it starts anew when full.
 MEMO = 400_000
 
-#: A space between two characters that aren't white space always starts a piece of the pattern.
+#: Patterns of which every match ends before a space that stands between two other characters: those of byte-level
+#: vocabularies whose words may begin with one space.
+PARTS_AT_SPACES = frozenset({r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"})
+
+#: White space that may part pieces otherwise than at single spaces.
 _ODD = re.compile(r"\s\s|\s | \s|^\s|\s$")
 
 
@@ -175,6 +179,9 @@ class TextEncoder(dict):
         super().__init__()
         self.bpe = bpe
         self._split = regex.compile(pattern).findall
+        # with this pattern, a space between two characters that aren't white space always starts a piece; texts are
+        # taken apart there for the memo, but not with a pattern that isn't known to do so
+        self._parts_at_spaces = pattern in PARTS_AT_SPACES
         self._pieces: dict[str, bytes] = {}
 
     def _ids(self, chunk: str) -> bytes:
@@ -203,6 +210,8 @@ class TextEncoder(dict):
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self._parts_at_spaces:
+            return self._ids(text)
         if _ODD.search(text):
             # lone spaces between other characters still part the text; only the odd stretches stay whole
             return b"".join(map(self._stretch, re.split(r"(?<=\S)(?= \S)", text)))
@@ -216,14 +225,23 @@ class TextEncoder(dict):
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+
+
+def encoder(ranks_key: str, ranks: dict[bytes, int], pattern: str) -> TextEncoder:
+    """This worker's encoder for a vocabulary and a pattern; built once for all its tasks."""
+    key = (ranks_key, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(BytePairEncoder(ranks), pattern)
+    return _ENCODERS[key]
 
 
-def encoder(name: str, ranks: dict[bytes, int], pattern: str) -> TextEncoder:
-    """This worker's encoder for a vocabulary; built once for all its tasks."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = TextEncoder(BytePairEncoder(ranks), pattern)
-    return _ENCODERS[name]
+def _key(ranks: dict[bytes, int]) -> str:
+    """Tells vocabularies apart by their content, wherever they were read from."""
+    h = hashlib.sha256()
+    for token, rank in ranks.items():
+        h.update(b"%d %d " % (rank, len(token)) + token)
+    return h.hexdigest()
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -231,7 +249,7 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     and broadcast: its size is the file's, 50,000 entries."""
     ranks = read_ranks(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    name = f"{ranks_path}:{len(ranks)}"
+    name = _key(ranks)
 
     def run(batches):
         enc = encoder(name, shared.value, pattern)
@@ -249,10 +267,11 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``docs`` with a column ``ids``, array of integers."""
+    """``docs`` with a column ``ids``, array of integers; one of that name is replaced."""
+    docs = docs.drop("ids")
     ranks = read_ranks(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    name = f"{ranks_path}:{len(ranks)}"
+    name = _key(ranks)
     at = docs.columns.index("text")
     schema = docs.select("*", F.array().cast("array<int>").alias("ids")).schema
 
