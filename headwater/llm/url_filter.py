@@ -9,8 +9,8 @@ Each distinct (url, fetch time) is evaluated once. Hot hosts are safe: a key has
 history, the join splits large keys, and nothing is collected. Lists of any size are shuffled; Spark broadcasts
 them only below its own size threshold.
 
-Cases: captures with null or host-less urls or without a fetch time match nothing and are kept; entries with a
-null entry, action or date are ignored; of entries of one day, "unlisted" wins; repeated entries and captures
+Cases: captures with null or host-less urls, or without a fetch time that is a date, match nothing and are kept; entries with a
+null entry or action, or without a date, are ignored; of entries of one day, "unlisted" wins; repeated entries and captures
 change nothing and are kept one by one; hosts compare in lower case without a port, user or final dot; other
 columns of the captures stay, those named like results are replaced; empty tables give empty or unmatched results.
 """
@@ -39,7 +39,7 @@ def path_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, valid_from, valid_to), half open, from (list, entry, action, day). An entry is a domain
     (it holds for subdomains) or a domain and a path ending in "/"."""
-    clean = entries.where("list is not null and entry is not null and day is not null and action in ('listed', 'unlisted')")
+    clean = entries.withColumn("day", F.col("day").try_cast("date")).where("list is not null and entry is not null and day is not null and action in ('listed', 'unlisted')")
     daily = clean.groupBy("list", F.lower("entry").alias("key"), "day").agg(F.max("action").alias("action"))  # unlisted > listed
     history = Window.partitionBy("list", "key").orderBy("day")
     turns = daily.withColumn("before", F.lag("action").over(history)).where("before is null or before <> action")
@@ -64,7 +64,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     """``captures`` with host, n_entries (active entries that match), lists (their lists, sorted, joined by
     commas), entry (the longest of them, the least of equals) and blocked."""
     own = captures.drop(*(c for c in RESULT if c != url and c != fetched))
-    targets = own.select(F.col(url).alias("__hw_url"), F.col(fetched).cast("date").alias("__hw_day")).where(F.col("__hw_url").isNotNull() & F.col("__hw_day").isNotNull()).distinct()
+    targets = own.select(F.col(url).alias("__hw_url"), F.col(fetched).try_cast("date").alias("__hw_day")).where(F.col("__hw_url").isNotNull() & F.col("__hw_day").isNotNull()).distinct()
     keys = targets.withColumn("__hw_host", host_of(F.col("__hw_url"))).where("__hw_host is not null")
     keys = keys.select("__hw_url", "__hw_day", F.explode(keys_of(F.col("__hw_host"), path_of(F.col("__hw_url")))).alias("key"))
     active = intervals(entries)
@@ -74,7 +74,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
         F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),  # as many as there are lists
         F.min(F.struct((-F.length("key")).alias("l"), F.col("key").alias("k"))).getField("k").alias("entry"),
     )
-    joined = own.join(verdicts, (F.col(url) == F.col("__hw_url")) & (F.col(fetched).cast("date") == F.col("__hw_day")), "left")
+    joined = own.join(verdicts, (F.col(url) == F.col("__hw_url")) & (F.col(fetched).try_cast("date") == F.col("__hw_day")), "left")
     return joined.select(
         *(F.col(c) for c in own.columns),
         host_of(F.col(url)).alias("host"),
