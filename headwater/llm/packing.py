@@ -4,9 +4,10 @@ A document of more than ``window`` ids gives full pieces of ``window`` ids and a
 lengths form a histogram (at most window - 1 bins, whatever the corpus). Shallow combinations of two to four
 lengths that fill a window exactly are the columns of a matrix; non-negative least squares finds how often
 to repeat each so that the histogram is used up as well as possible. The counts are rounded and trimmed to
-what is there. What no combination takes is packed greedily: each remainder is cut at the powers of two of
-its length, and the parts are laid out from large to small. A part of size 2^k then starts at a multiple of
-2^k, so none crosses the end of a window, and the last window parts into sequences whose lengths are powers
+what is there. What is left is packed greedily, whole: the longest remainder, then the longest that fit, as soon as
+possible one or two that fill the window exactly. Only remainders for which this finds no full window are cut, at the
+powers of two of their length, and the parts are laid out from large to small. A part of size 2^k then starts at a
+multiple of 2^k, so none crosses the end of a window, and the last window parts into sequences whose lengths are powers
 of two, which need no padding either.
 
 Which sequence and place a piece gets follows by arithmetic from its length and its rank among the
@@ -20,6 +21,7 @@ for itself; null doc_ids stay null; other columns are ignored; an empty table gi
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import batch, cut
 
 WINDOW = 2048
-#: Columns of the least-squares problem at most, the ones with the most documents first.
+#: Columns of the least-squares problem at most, the ones with the most documents first; what they leave is packed greedily.
 COLUMNS = 4096
 
 _PLAIN = re.compile("[^\\x00-\\u024f]")
@@ -75,18 +77,20 @@ class JsonTokenizer:
         return np.asarray(self.fast.encode_ordinary(text), "<u4")
 
 
-_TOKENIZERS: dict[tuple[str, bool], JsonTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, str, bool], JsonTokenizer] = {}
 
 
 def json_tokenizer(path: str, pattern: str, spark, added: bool = False) -> Callable[[], JsonTokenizer]:
     """A function that gives a worker its tokenizer; the file (one vocabulary) is read on the driver."""
     with open(path, encoding="utf-8") as f:
-        content = spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    key = (hashlib.sha256(text.encode()).hexdigest(), pattern, added)
+    content = spark.sparkContext.broadcast(text)
 
     def get() -> JsonTokenizer:
-        if (path, added) not in _TOKENIZERS:
-            _TOKENIZERS[path, added] = JsonTokenizer(content.value, pattern, added)
-        return _TOKENIZERS[path, added]
+        if key not in _TOKENIZERS:
+            _TOKENIZERS[key] = JsonTokenizer(content.value, pattern, added)
+        return _TOKENIZERS[key]
 
     return get
 
@@ -142,6 +146,40 @@ def nnls(columns: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int = 30
     return x
 
 
+def greedy(rest: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
+    """Whole lengths that fill windows exactly, and how often: the longest one left with the longest that still fit, until
+    one or two of those left fill the window. A length for which that comes to no end is left out."""
+    left = rest.astype(np.int64).copy()
+    out: list[tuple[list[int], int]] = []
+    while (have := np.flatnonzero(left)).size:
+        longest = int(have[-1])
+        combination, space = [longest], window - longest
+        left[longest] -= 1
+        while space:
+            if left[space] > 0:
+                combination.append(space)
+                left[space] -= 1
+                break
+            fit = np.flatnonzero(left[: space + 1])
+            if not len(fit):
+                break
+            other = space - fit
+            pair = fit[left[other] > (other == fit)]
+            best = int(pair[-1] if len(pair) else fit[-1])
+            combination.append(best)
+            left[best] -= 1
+            space -= best
+        np.add.at(left, combination, 1)
+        if sum(combination) == window:
+            lengths, n = np.unique(combination, return_counts=True)
+            times = int((left[lengths] // n).min())
+            left[lengths] -= times * n
+            out.append((combination, times))
+        else:
+            left[longest] = 0
+    return out
+
+
 class Layout:
     """From (length, rank) of a remainder to its pieces. Its size depends on window and columns only."""
 
@@ -154,17 +192,26 @@ class Layout:
         used = np.zeros(window, np.int64)
         rows: list[tuple[int, int, int, int, int]] = []  # length, first rank, first sequence, times, offset
         n = 0
-        for j in np.argsort(-x, kind="stable"):
-            length, times = np.unique(cols[j], return_counts=True)
-            count = min(int(np.floor(x[j] + 0.5)), int(((histogram - used)[length] // times).min()))
+
+        def lay(combination, wished: int) -> None:
+            nonlocal n
+            length, times = np.unique(combination, return_counts=True)
+            count = min(wished, int(((histogram - used)[length] // times).min()))
             if count <= 0:
-                continue
+                return
             offset = 0
             for a, m in zip(length.tolist(), times.tolist()):
                 rows.append((a, int(used[a]), n, m, offset))
                 used[a] += m * count
                 offset += a * m
             n += count
+
+        for j in np.argsort(-x, kind="stable"):
+            lay(cols[j], int(np.floor(x[j] + 0.5)))
+        self.by_columns = int(used.sum())  # remainders that the columns place
+        for combination, times in greedy(histogram - used, window):
+            lay(combination, times)
+        self.whole = int(used.sum())  # with those packed greedily
         rows.sort()
         table = np.array(rows, np.int64).reshape(-1, 5)
         self.key = table[:, 0] << 44 | table[:, 1]
