@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from headwater.llm import exact_dedup, fm_index, ngram_join, substring_dedup
@@ -72,10 +73,45 @@ def test_exact_dedup_nulls_ties_and_empty(spark):
     assert exact_dedup.drop_copies(rows).columns == rows.columns
 
 
-def test_tree_merge_refuses_colliding_digests(spark):
-    runs = spark.createDataFrame([(b"d", 1, 1, 0, 0, 1), (b"d", 2, 1, 1, 1, 1)], exact_dedup._RUN_DDL)
-    with pytest.raises(Exception, match="share a SHA-256"):
-        exact_dedup.tree_merge(runs).collect()
+def test_tree_merge_keeps_colliding_digests_apart(spark):
+    """Equal digests whose fingerprints or lengths differ are other texts."""
+    d = bytes(31) + b"\x01"
+    rows = [(d, 1, 1, 0, 0, 1), (d, 2, 1, 1, 1, 1), (d, 2, 1, 0, 2, 5), (d, 2, 3, None, 3, 1), (d, -2, 3, 9, 3, 1), (bytes(32), 1, 1, 4, 4, 1)]
+    got = exact_dedup.tree_merge(spark.createDataFrame(rows, exact_dedup._RUN_DDL).repartition(3)).collect()
+    assert {tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in got} == {(d, 1, 1, 0, 0, 1), (d, 2, 1, 0, 2, 6), rows[3], rows[4], rows[5]}
+
+
+@pytest.mark.parametrize(("fan", "width", "parts"), [(2, 2, 5), (2, 8, 3), (2, 16, 11), (3, 9, 4)])
+def test_tree_merge_in_several_rounds_equals_brute_force(spark, fan, width, parts):
+    rng = random.Random(width)
+    rows, want = [], {}
+    for i in range(600):
+        k = rng.randrange(150) if i % 3 else 7
+        key = (hashlib.sha256(b"%d" % k).digest(), k - 70, k)
+        entry = (rng.choice([None, rng.randrange(100)]), i)
+        rows.append((*key, *entry, 1))
+        old = want.get(key)
+        best = entry if old is None else min(old[:2], entry, key=lambda e: (e[0] is None, e[0] or 0, e[1]))
+        want[key] = (*best, 1 if old is None else old[2] + 1)
+    runs = exact_dedup.tree_merge(spark.createDataFrame(rows, exact_dedup._RUN_DDL).repartition(parts), fan, width)
+    assert runs.rdd.getNumPartitions() == width if fan**4 >= width else True
+    assert {(bytes(r.digest), r.check, r.size): (r.keep_id, r.keep_row, r.group_size) for r in runs.collect()} == want
+    assert runs.count() == len(want)
+
+
+def test_a_partition_merges_any_number_of_runs():
+    rng = random.Random(3)
+    runs, want = [], {}
+    for _ in range(9):
+        keys = sorted(rng.sample(range(40), rng.randrange(1, 30)))
+        runs.append([(bytes([k]) * 32, 5, k, k % 4, len(runs), 2) for k in keys])
+        for k in keys:
+            want.setdefault(k, [0, len(runs) - 1])[0] += 2
+    whole = [r for run in runs for r in run]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*whole[i : i + 17]), exact_dedup._RUN)], schema=exact_dedup._RUN) for i in range(0, len(whole), 17)]
+    got = [r for b in exact_dedup._merge(batches) for r in b.to_pylist()]
+    assert [(r["digest"][0], r["group_size"], r["keep_row"]) for r in got] == [(k, *want[k]) for k in sorted(want)]
+    assert list(exact_dedup._merge([])) == []
 
 
 # --- substring dedup

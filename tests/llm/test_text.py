@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from headwater.llm import bpe, chat_threads, html_extract, license_scan, packing, quality, url_filter
@@ -66,10 +67,40 @@ def test_quality_order_changes_nothing_and_clean_text_stays(spark):
     assert sorted(quality.plan(docs)) == list(range(len(quality.RULES)))
     assert quality.quality_report(docs.limit(0)).count() == 0
     calls = []
-    rules = [quality.Rule("no", lambda f: True), quality.Rule("never asked", lambda f: calls.append(1))]
+    rules = [quality.Rule("no", (), lambda f: True), quality.Rule("never asked", (), lambda f: calls.append(1))]
     assert not quality.cascade(rules, [0, 1])(facts[0]) and not calls
 
 
+def test_quality_rules_ask_for_what_they_name():
+    """The plan's costs rest on it: a rule works out no fact but those it names and what these need."""
+    for text in (b"", b"some Words! here\nhere\nhere", b"x " * 80):
+        for rule in quality.RULES:
+            facts = quality.Facts(text, timed=True)
+            rule.rejects(facts)
+            assert set(facts.ns) == quality._asked(rule), rule.name
+
+
+def test_quality_plan_weighs_rejections_against_cost(spark):
+    rules = [quality.Rule("idle", ("n_words",), lambda f: False), quality.Rule("dear", ("n_repeat_words",), lambda f: f.n_words % 2 == 0), quality.Rule("cheap", ("n_bangs",), lambda f: f.text.startswith(b"a")), quality.Rule("same again", ("n_bangs",), lambda f: f.text.startswith(b"a"))]
+    docs = docs_of(spark, [("a " if i % 3 else "b ") * (50 + i) for i in range(200)])
+    order = quality.plan(docs, rules, 10_000)
+    # once the cheap rule has gone, its double rejects nothing more and falls behind the dear one
+    assert [rules[i].name for i in order[:2]] == ["cheap", "dear"] and sorted(order) == [0, 1, 2, 3]
+    assert quality.plan(docs.limit(0), rules) == [0, 1, 2, 3]
+
+
+def test_quality_sample_is_bounded_random_and_of_few_files(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "repeat('word ', 60) AS text").repartition(12)
+    rows.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = quality.sampled(docs, 300, 3)
+    assert len({r[0] for r in got.select(F.input_file_name()).collect()}) <= 3
+    assert 200 < got.count() < 400 and {r.doc_id for r in got.collect()} == {r.doc_id for r in got.collect()}
+    assert got.rdd.getNumPartitions() <= 3  # other files aren't opened
+    assert 200 < quality.sampled(rows, 300, 3).count() < 400 and quality.sampled(docs.limit(5), 300).count() == 5
+    assert quality.sampled(docs.withColumn("_metadata", F.lit(1)), 300, 3).count() > 200
+
+
 # --- BPE
 
 
@@ -86,6 +117,17 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     assert bpe.bpe_digests(docs_of(spark, texts).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("pattern", [r"\w+|\W+", r"\S+\s*|\s+", r"(?s).{1,7}", public_tokenizers.PATTERN])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_bpe_of_one_session_keeps_patterns_and_vocabularies_apart(spark, pattern, name):
+    texts, path = odd_texts(9, 60) + ["a  b c d\n e", "don't stop"], public_tokenizers.path(name)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    docs = docs_of(spark, texts).select("doc_id", "text", F.lit("clash").alias("ids"))
+    got = bpe.encode(docs, path, pattern)
+    assert got.columns == ["doc_id", "text", "ids"]
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
 def test_compatibility_equals_the_merges():
     encoder = bpe.BytePairEncoder(bpe.read_ranks(RANKS))
     rng = random.Random(5)
@@ -101,11 +143,10 @@ def test_compatibility_equals_the_merges():
 def test_packing_is_complete_and_tight(spark, window):
     rng = random.Random(6)
     texts = odd_texts(7, 20) + [" ".join(rng.choice(["alpha", "beta", "gamma delta"]) for _ in range(rng.randrange(1, 900))) for _ in range(120)] + ["same text here"] * 40
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(JSON)  # as it comes: names of added tokens become these tokens
     ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
     docs = docs_of(spark, texts).repartition(5)
-    rows = packing.pack(docs, packing.json_tokenizer(JSON, public_tokenizers.PATTERN, spark), window=window).collect()
+    rows = packing.pack(docs, packing.json_tokenizer(JSON, public_tokenizers.PATTERN, spark, added=True), window=window).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         assert r.length > 0 and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
@@ -143,7 +184,42 @@ def test_layout_uses_combinations_and_nnls():
     assert (x >= 0).all() and np.linalg.norm(a @ x - histogram) < 0.1
     layout = packing.Layout(histogram, 64)
     assert layout.used[40] == 10 and layout.used[22] == 12 and layout.residual_total == 0
-    assert packing.pack is not None and packing.halves(37) == [32, 4, 1]
+    assert packing.halves(37) == [32, 4, 1]
+
+
+@pytest.mark.parametrize(("seed", "window", "docs"), [(1, 2048, 30_000), (2, 256, 3000), (3, 64, 200), (4, 64, 5)])
+def test_layout_packs_residuals_whole(seed, window, docs):
+    """Every place is used once and to the end; few remainders are cut."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.lognormal(np.log(window) - 1.5, 0.9, docs).astype(int) % (window - 1) + 1
+    histogram = np.bincount(lengths, minlength=window)
+    layout = packing.Layout(histogram, window)
+    assert layout.by_columns <= layout.whole <= docs and (docs < 1000 or layout.whole > 0.9 * docs)
+    filled: dict[int, list[tuple[int, int]]] = {}
+    for n in np.flatnonzero(histogram).tolist():
+        for rank in range(int(histogram[n])):
+            parts = layout.place(n, rank)
+            assert [p[0] for p in parts] == [sum(q[1] for q in parts[:i]) for i in range(len(parts))] and sum(p[1] for p in parts) == n
+            for _, size, seq, offset in parts:
+                filled.setdefault(seq, []).append((offset, size))
+    assert sorted(filled) == list(range(layout.full_base))
+    for parts in filled.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at == window or at & (at - 1) == 0
+
+
+def test_greedy_packs_whole_lengths_only():
+    rest = np.zeros(64, np.int64)
+    rest[[40, 10, 7, 63, 5]] = [3, 2, 4, 1, 1]
+    got = packing.greedy(rest, 64)
+    used = np.zeros(64, np.int64)
+    for combination, times in got:
+        assert sum(combination) == 64
+        np.add.at(used, combination, times)
+    assert (used <= rest).all() and got and packing.greedy(np.zeros(64, np.int64), 64) == []
 
 
 def test_packing_empty(spark):
@@ -196,6 +272,14 @@ def test_url_filter_as_of(spark):
     assert url_filter.url_filter(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_dates_that_are_none(spark):
+    """Texts that aren't dates match nothing, in captures as in entries."""
+    entries = spark.createDataFrame([("a", "bad.com", "listed", "2024-01-10"), ("a", "bad.com", "unlisted", "soon"), ("a", "x.com", "listed", "")], "list string, entry string, action string, day string")
+    captures = spark.createDataFrame([(1, "http://bad.com", "2024-02-30"), (2, "http://bad.com", "2024-02-03"), (3, "http://bad.com", "yesterday"), (4, "http://x.com", "2024-02-03 10:00:00"), (5, "http://bad.com/" + "a/" * 2000, "2024-03-01")], "page_id long, url string, fetched string")
+    got = {r.page_id: (r.blocked, r.fetched) for r in url_filter.url_filter(captures, entries).collect()}
+    assert got == {1: (False, "2024-02-30"), 2: (True, "2024-02-03"), 3: (False, "yesterday"), 4: (False, "2024-02-03 10:00:00"), 5: (True, "2024-03-01")}
+
+
 # --- licence scans
 
 
