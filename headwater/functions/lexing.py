@@ -1,8 +1,10 @@
-"""SQL text as relations: tokens, their nesting and their clauses, by regular expressions and windows."""
+"""SQL text as tokens with their nesting and their clauses. One pass over a statement, in time proportional to it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 _NAME = r"""(?:[A-Za-z_][A-Za-z0-9_$]*|"[^"]*"|`[^`]*`)"""
 #: White space, comments, strings, dotted names (or name.*), numbers, operators, any other character.
@@ -13,80 +15,92 @@ TOKEN_RE = (
     + _NAME
     + r"|\*))*|[0-9]+(?:\.[0-9]+)?|<>|<=|>=|!=|\|\||::|."
 )
-_CLAUSES = ("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "UNION", "INTERSECT", "EXCEPT", "LIMIT", "WINDOW", "QUALIFY", "ON", "USING", "SET", "VALUES")
+_TOKENS = re.compile(TOKEN_RE, re.S | re.A)
+_LAST = re.compile(f"({_NAME})\\s*$", re.A)
+_ENDS = re.compile(r"^[\s;]+|[\s;]+$", re.A)
+
+CLAUSES = frozenset("SELECT FROM WHERE GROUP HAVING ORDER UNION INTERSECT EXCEPT LIMIT WINDOW QUALIFY ON USING SET VALUES".split())
+SET_OPERATIONS = frozenset("UNION INTERSECT EXCEPT".split())
 #: Words that are never an alias or a table.
-RESERVED = _CLAUSES + (
-    "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "OUTER", "NATURAL", "LATERAL", "AS", "BY", "AND", "OR", "NOT", "IN", "IS", "LIKE", "BETWEEN",
-    "CASE", "WHEN", "THEN", "ELSE", "DISTINCT", "ALL", "OVER", "PARTITION", "INTO", "INSERT", "CREATE", "TABLE", "WITH", "RECURSIVE", "EXISTS", "ONLY",
-)
-
-
-def quoted(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
-def tokens(texts: DataFrame) -> DataFrame:
-    """(text_id, pipeline_name, pos, tok) of the texts (text_id, pipeline_name, sql), white space and comments
-    included: the tokens of a text, put together, are the text."""
-    pattern = TOKEN_RE.replace("\\", "\\\\").replace("'", "\\'")
-    return texts.sparkSession.sql(f"SELECT text_id, pipeline_name, pos, tok FROM {{texts}} LATERAL VIEW posexplode(regexp_extract_all(sql, '(?s){pattern}', 0)) v AS pos, tok", texts=texts)
-
-
-def statements(texts: DataFrame) -> DataFrame:
-    """(text_id, stmt, pipeline_name, raw_sql): the texts cut at semicolons, trimmed, empty ones and such of
-    comments only left out. ``stmt`` counts from 0 within a text. Texts without a semicolon but at their end are whole
-    statements; only the others are taken to tokens and put together again."""
-    spark = texts.sparkSession
-    trim = r"'^[\\s;]+|[\\s;]+$', ''"
-    single = spark.sql(
-        f"""
-        SELECT text_id, 0 AS stmt, pipeline_name, regexp_replace(sql, {trim}) AS raw_sql FROM {{texts}}
-        WHERE NOT contains(regexp_replace(sql, {trim}), ';') AND regexp_replace(sql, '(?s)--[^\\n]*|/[*].*?[*]/|[\\s;]', '') <> ''
-        """,
-        texts=texts,
-    )
-    several = spark.sql(f"SELECT * FROM {{texts}} WHERE contains(regexp_replace(sql, {trim}), ';')", texts=texts)
-    parts = spark.sql(
-        """
-        WITH t AS (SELECT *, sum(CASE WHEN tok = ';' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY pos) AS part FROM {tok})
-        SELECT text_id, CAST(part AS INT) AS stmt, first(pipeline_name) AS pipeline_name,
-          regexp_replace(array_join(transform(array_sort(collect_list(struct(pos, tok))), x -> x.tok), ''), '^[\\s;]+|\\s+$', '') AS raw_sql
-        FROM t GROUP BY text_id, part
-        HAVING count_if(NOT (tok = ';' OR tok RLIKE '^\\s' OR tok LIKE '--%' OR tok LIKE '/*%')) > 0
-        """,
-        tok=tokens(several),
-    )
-    return single.unionByName(parts)
-
-
-def significant(stmts: DataFrame) -> DataFrame:
-    """Tokens of statements without white space and comments, each with its neighbours, nesting depth, paren group
-    and the clause it stands in. If ``stmts`` are distributed by (text_id, stmt), nothing moves: every window's keys
-    begin with these two."""
-    spark = stmts.sparkSession
-    pattern = TOKEN_RE.replace("\\", "\\\\").replace("'", "\\'")
-    flat = spark.sql(f"SELECT text_id, stmt, pos, tok FROM {{stmts}} LATERAL VIEW posexplode(regexp_extract_all(raw_sql, '(?s){pattern}', 0)) v AS pos, tok", stmts=stmts)
-    seq = spark.sql(
-        """
-        SELECT text_id, stmt, pos, tok, upper(tok) AS up,
-          lag(upper(tok), 1, '') OVER w AS p1, lag(upper(tok), 2, '') OVER w AS p2,
-          lead(upper(tok), 1, '') OVER w AS n1, lead(upper(tok), 2, '') OVER w AS n2,
-          tok RLIKE '^[A-Za-z_"`]' AS is_name,
-          sum(CASE WHEN tok = '(' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id, stmt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
-          sum(CASE WHEN tok = ')' THEN 1 ELSE 0 END) OVER (PARTITION BY text_id, stmt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS closed
-        FROM {flat} WHERE NOT (tok RLIKE '^\\\\s' OR tok LIKE '--%' OR tok LIKE '/*%')
-        WINDOW w AS (PARTITION BY text_id, stmt ORDER BY pos)
-        """,
-        flat=flat,
-    )
-    return spark.sql(
-        f"""
-        WITH d AS (SELECT *, CAST(coalesce(opened, 0) - coalesce(closed, 0) AS INT) AS depth FROM {{seq}}),
-        g AS (SELECT *, max(CASE WHEN p1 = '(' AND tok <> ')' THEN pos ELSE -1 END) OVER (PARTITION BY text_id, stmt, depth ORDER BY pos) AS grp FROM d)
-        SELECT *,
-          coalesce(max(CASE WHEN up = 'SELECT' THEN 1 END) OVER c, 0) AS select_seen,
-          last(CASE WHEN up IN ({quoted(_CLAUSES)}) AND NOT (up = 'FROM' AND p1 = 'DISTINCT' AND p2 IN ('IS', 'NOT')) THEN up END, true) OVER c AS clause
-        FROM g WINDOW c AS (PARTITION BY text_id, stmt, depth, grp ORDER BY pos)
-        """,
-        seq=seq,
-    )
+RESERVED = CLAUSES | frozenset(
+    "JOIN INNER LEFT RIGHT FULL CROSS OUTER NATURAL LATERAL AS BY AND OR NOT IN IS LIKE BETWEEN CASE WHEN THEN ELSE DISTINCT ALL OVER PARTITION INTO INSERT CREATE TABLE WITH RECURSIVE EXISTS ONLY".split()
+)
+
+
+def last_segment(name: str) -> str:
+    """The last part of a dotted name, without quotes; empty if it isn't a name."""
+    m = _LAST.search(name)
+    return m[1].translate(_QUOTES) if m else ""
+
+
+def whole_name(name: str) -> str:
+    """A dotted name without quotes and spaces."""
+    return re.sub(r"\s*\.\s*", ".", name.translate(_QUOTES), flags=re.A)
+
+
+_QUOTES = {ord('"'): None, ord("`"): None}
+
+
+@dataclass(slots=True)
+class Token:
+    """A token that is neither white space nor a comment. ``group`` tells apart parentheses of one depth; ``clause`` and
+    ``select_seen`` are those of the group up to the token itself."""
+
+    at: int  # number among all tokens of the statement
+    text: str
+    up: str
+    name: bool
+    depth: int
+    group: int
+    clause: str | None
+    select_seen: bool
+
+
+def split_statements(sql: str) -> Iterator[tuple[int, str]]:
+    """(number, text) of the statements, cut at semicolons and trimmed; such of comments only are left out. A text without
+    a semicolon but at its ends is statement 0."""
+    whole = _ENDS.sub("", sql)
+    if ";" not in whole:
+        if any(not _silent(t) for t in _TOKENS.findall(whole)):
+            yield 0, whole
+        return
+    number, part = 0, []
+    for tok in [*_TOKENS.findall(sql), None]:
+        if tok == ";" or tok is None:
+            if any(not _silent(t) for t in part):
+                yield number, _ENDS.sub("", "".join(part))
+            number, part = number + 1, []
+        else:
+            part.append(tok)
+
+
+def _silent(tok: str) -> bool:
+    return tok.isspace() or tok.startswith("--") or tok.startswith("/*") and len(tok) > 2
+
+
+def lex(sql: str) -> tuple[list[str], list[Token]]:
+    """All tokens of a statement, which put together are its text, and those that count."""
+    raw = _TOKENS.findall(sql)
+    out: list[Token] = []
+    opened = closed = 0
+    groups: dict[int, int] = {}  # of each depth, the group that is open
+    state: dict[tuple[int, int], tuple[str | None, bool]] = {}
+    before = before2 = ""
+    for at, text in enumerate(raw):
+        if _silent(text):
+            continue
+        up = text.upper()
+        closed += text == ")"
+        depth = opened - closed
+        if before == "(" and text != ")":
+            groups[depth] = at
+        group = groups.get(depth, -1)
+        clause, seen = state.get((depth, group), (None, False))
+        if up in CLAUSES and not (up == "FROM" and before == "DISTINCT" and before2 in ("IS", "NOT")):
+            clause = up
+            seen = seen or up == "SELECT"
+            state[depth, group] = clause, seen
+        out.append(Token(at, text, up, text[0].isalpha() and text[0].isascii() or text[0] in '_"`', depth, group, clause, seen))
+        opened += text == "("
+        before2, before = before, up
+    return raw, out

@@ -1,8 +1,11 @@
 """SQL extraction: one behaviour a test."""
 
+import time
+
 import pytest
 
-from headwater.operators.sql_extract import extract_sql, parse_sql
+from headwater.functions.lexing import split_statements
+from headwater.operators.sql_extract import extract_sql, parse_sql, parse_statement
 
 RETAIL = [
     """INSERT INTO staging.raw_orders (order_id) SELECT o.order_id, o.status AS order_status, o.region, NOW() AS extracted_at
@@ -50,6 +53,32 @@ def test_statements(spark):
         assert got.get(i, []) == want, sql
 
 
+def test_repeated_and_null_ids_and_null_texts(spark):
+    rows = [(1, "p", "INSERT INTO a SELECT x FROM b"), (1, "p", "INSERT INTO c SELECT y FROM d; INSERT INTO e SELECT z FROM f"), (None, None, "INSERT INTO g SELECT w FROM h"), (2, "p", None)]
+    got = sorted((r.target_table, r.source_tables, r.stmt, r.text_id) for r in extract_sql(spark.createDataFrame(rows, "text_id long, pipeline_name string, sql string")).collect())
+    assert got == [("a", ["b"], 0, 1), ("c", ["d"], 0, 1), ("e", ["f"], 1, 1), ("g", ["h"], 0, None)]
+
+
+def test_column_sources(spark):
+    def of(sql, **k):
+        return [(s.target_col, s.source_table, s.source_column) for s in parse_sql(spark, sql, **k).first().column_sources]
+
+    assert of("INSERT INTO t SELECT o.x AS y, c.name n, o.a + c.b AS s, z FROM raw.orders o JOIN crm.customers AS c ON o.id = c.id") == [
+        ("y", "orders", "x"), ("n", "customers", "name"), ("s", "orders", "a"), ("s", "customers", "b"), ("z", None, "z")]
+    assert of("INSERT INTO t SELECT COUNT(DISTINCT v) AS n, CAST(w AS INT) AS w, CASE WHEN k > 'x' THEN NULL ELSE orders.q END AS c FROM Orders") == [("n", "Orders", "v"), ("w", "Orders", "w"), ("c", "Orders", "k"), ("c", "Orders", "q")]
+    assert of("INSERT INTO t SELECT d.a, b.* FROM (SELECT a FROM x) d, s.b", qualified=True) == [("a", None, "a"), ("*", "s.b", "*")]
+    assert of("INSERT INTO t SELECT a FROM b UNION ALL SELECT z FROM c") == [("a", "b", "a")]
+    assert of("INSERT INTO t SELECT TRIM(BOTH ' ' FROM s) v, EXTRACT(YEAR FROM d) AS y, 'a.b' AS l FROM x") == [("v", "x", "s"), ("y", "x", "d")]
+    assert of("CREATE TABLE t (id INT)") == []
+
+
+def test_a_long_statement_takes_time_in_proportion():
+    sql = "INSERT INTO t SELECT " + ", ".join(f"f(g(a{i}), b) AS c{i}" for i in range(20_000)) + " FROM x"
+    t = time.perf_counter()
+    assert len(parse_statement(sql)["column_mappings"]) == 20_000 and time.perf_counter() - t < 6
+    assert [n for n, _ in split_statements('SELECT 1;; SELECT 2 -- ;\n; -- none\n;')] == [0, 2]
+
+
 def test_pipeline_name_star_and_qualified(spark):
     sql = "INSERT INTO staging.orders SELECT * FROM source.orders"
     r = parse_sql(spark, sql, "daily", star=False, qualified=True).first()
