@@ -1,5 +1,7 @@
 """dbt models, PySpark scripts and their files."""
 
+import time
+
 import pytest
 
 from headwater.operators.dbt_extract import all_upstream, dependencies, parse_dbt_models
@@ -39,6 +41,49 @@ def test_dbt_columns(spark):
     assert model(spark, "SELECT * FROM {{ ref('a') }}").column_lineage == [] and model(spark, "{{ config() }}").column_lineage == []
 
 
+def test_dbt_columns_over_several_lines_and_odd_text(spark):
+    cols = lambda sql: [tuple(c) for c in model(spark, sql).column_lineage]
+    assert cols("SELECT CASE WHEN a\n THEN 1\n END\n AS kind, f(g(a, b),\n c) x, 1 AS 2b FROM t") == [("kind", "CASE WHEN a\n THEN 1\n END"), ("f(g(a, b),\n c) x", "f(g(a, b),\n c) x"), ("2b", "1")]
+    assert cols("SELECT a FROM t UNION SELECT b AS c FROM {{ source('s', 't') }}") == [("c", "b")]
+    assert cols("SELECT {{ ref('m') }}.a AS x, {{ source('s', 't') }}.b FROM {{ ref('m') }}") == [("x", "m.a"), ("b", "s__t.b")]
+    assert cols("SELECT a, (b FROM t") == [("a", "a"), ("(b", "(b")] and cols("SELECT a") == [] and cols("") == []
+    assert model(spark, None).ref_deps == [] and model(spark, None).column_lineage == []
+    r = model(spark, "{{ config(tags=['x'], Materialized = \"table\") }}{{ config(materialized='view2') }} {{- ref('a') -}} {{ ref(a) }} {{ source('a') }} {{ ref('') }}")
+    assert r.materialization == "table" and r.ref_deps == [] and r.source_deps == []
+
+
+def test_dbt_takes_time_in_proportion(spark):
+    sql = "SELECT " + ", ".join(f"f(a{i}, b) AS c{i}" for i in range(16_000)) + " FROM {{ ref('x') }}"
+    model(spark, "SELECT 1 AS a FROM t")
+    t = time.perf_counter()
+    found = model(spark, sql).column_lineage
+    assert len(found) == 16_000 and tuple(found[-1]) == ("c15999", "f(a15999, b)") and time.perf_counter() - t < 20
+
+
+def test_of_a_repeated_model_name_the_last_counts(spark):
+    rows = [("a", "SELECT 1 FROM {{ ref('zz') }}", 1), ("a", "SELECT 1 FROM {{ ref('first') }}", 3), ("b", "SELECT 1", 2), ("a", "SELECT 2 FROM {{ ref('mid') }}", 2)]
+    df = spark.createDataFrame(rows, "model_name string, sql string, ord int")
+    assert {r.model_name: r.ref_deps for r in dependencies(parse_dbt_models(df), "ord").collect()} == {"a": ["first"], "b": []}
+    as_read = parse_dbt_models(df.coalesce(1).drop("ord"))
+    assert {r.model_name: r.ref_deps for r in dependencies(as_read).collect()} == {"a": ["mid"], "b": []}
+
+
+@pytest.mark.parametrize(
+    ("call", "path"),
+    [
+        ("csv(base, 'id INT')", "<unknown_csv>"), ("csv('p', 'id INT')", "p"), ("csv(schema='id INT', path='p')", "p"), ("csv(base, path='p')", "p"), ("csv()", "<unknown_csv>"),
+        ("parquet(*paths)", "<unknown_parquet>"), ("load(base, 'csv')", "<unknown_unknown>"), ("json(path=base)", "<unknown_json>"), ("table(tableName='t')", "t"),
+    ],
+)
+def test_only_the_first_argument_is_a_path(call, path):
+    assert parse_script(f"a = spark.read.{call}")["sources"][0]["path"] == path
+
+
+def test_writes_do_not_take_a_mode_for_a_path():
+    r = parse_script("a = spark.read.parquet('x')\na.write.parquet(out, 'overwrite')\na.write.csv('y', mode='append')\na.write.saveAsTable(name='t', mode='append')\n")
+    assert [s["path"] for s in r["sinks"]] == ["<unknown_parquet>", "y", "t"]
+
+
 def test_dbt_dependency_graph(spark):
     df = parse_dbt_models(spark.createDataFrame([("a", "SELECT 1"), ("b", "SELECT * FROM {{ ref('a') }}")], "model_name string, sql string"))
     assert {r.model_name: r.ref_deps for r in dependencies(df).collect()} == {"a": [], "b": ["a"]}
