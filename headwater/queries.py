@@ -7,12 +7,13 @@ same rows, which the SQL twins state."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.operators import dbt_extract, graph, impact, merge, report, script_extract, sql_extract, store
+from headwater.operators import dbt_extract, graph, impact, merge, report, script_extract, service, sql_extract, store
 from headwater.plans.stages import materialise
 from headwater.sources.files import airflow_tasks
 
@@ -105,6 +106,14 @@ def sql_records(spark, sf_dir):
     )
 
 
+@query("""SELECT text_id, s[1] AS target_col, s[2] AS source_table, s[3] AS source_column FROM (SELECT o_orderkey AS text_id, unnest(CASE o_orderkey % 8
+  WHEN 0 THEN [['id', 'src' || o_custkey, 'id'], ['y', 'src' || o_custkey, 'x']] WHEN 1 THEN [['id', 'src' || o_custkey, 'id']]
+  WHEN 2 THEN [['id', 'src' || o_custkey, 'id'], ['margin', 'src' || o_custkey, 'p'], ['margin', 'dim', 'q']] WHEN 3 THEN [['k', '', 'k'], ['n', '', 'v']]
+  WHEN 4 THEN [['*', 'c1', '*'], ['*', 'c2', '*']] WHEN 5 THEN [['*', '', '*']] WHEN 6 THEN [['f', 't' || o_orderkey, 'a'], ['f', 't' || o_orderkey, 'b']] ELSE [] END) AS s FROM orders) x""")
+def column_sources(spark, sf_dir):
+    return _records(spark, sf_dir).selectExpr("text_id", "inline(column_sources)").withColumn("source_table", F.coalesce("source_table", F.lit("")))
+
+
 @query(f"WITH r AS ({_SQL_RECORDS}) SELECT kind, count(*) AS n FROM r GROUP BY kind")
 def sql_kinds(spark, sf_dir):
     return _records(spark, sf_dir).groupBy(F.col("transformation_type").alias("kind")).agg(F.count("*").alias("n"))
@@ -155,6 +164,13 @@ def dbt_dependencies(spark, sf_dir):
     return dbt_extract.dependencies(m).selectExpr("model_name", "array_join(ref_deps, ',') AS refs")
 
 
+@query("SELECT 'm' || (p_partkey % 50) AS model_name, 'm' || (max(p_partkey) - 1) AS refs FROM part GROUP BY p_partkey % 50")
+def dbt_repeated_names(spark, sf_dir):
+    """Models of one name: the last one counts."""
+    models = _views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}")).selectExpr("'m' || (k % 50) AS model_name", "sql", "k AS ord")
+    return dbt_extract.dependencies(dbt_extract.parse_dbt_models(models), "ord").selectExpr("model_name", "array_join(ref_deps, ',') AS refs")
+
+
 _SCRIPTS = r"""
 SELECT 'p' || s_suppkey AS pipeline_name, s_suppkey AS ord, 'a = spark.read.parquet("s3://lake/a' || s_suppkey || '/")\nb = spark.read.format("csv").load("s3://lake/b' || (s_suppkey % 10) || '")\n' ||
   'c = a.filter("x > 1").select("id", "x")\nd = c.join(b, on="id", how="left").groupBy("id").agg({"x": "sum"})\n' ||
@@ -177,6 +193,23 @@ def script_records(spark, sf_dir):
     )
 
 
+_CALLS = r"""
+SELECT 'q' || s_suppkey AS pipeline_name, 'base = "s3://lake"\na = spark.read.table("raw.t' || s_suppkey || '")\nb = spark.read.csv(base, "id INT")\n' ||
+  'c = a.union(b).select("id", "x").withColumn("y' || s_suppkey || '", col("x"))\nd = c.groupBy("id", "x").count()\nc.write.parquet(base, "overwrite")\nd.write.json(path="s3://lake/d' || s_suppkey || '")\n' AS code FROM supplier"""
+
+
+@query("""SELECT 'q' || s_suppkey AS pipeline_name, 'raw.t' || s_suppkey || ',<unknown_csv>' AS sources, '<unknown_parquet>,s3://lake/d' || s_suppkey AS sinks,
+  'withColumn(a)[y' || s_suppkey || ']c,select(a)[id+x],union(a+b)[],groupBy(c)[id+x]d' AS steps FROM supplier""")
+def script_calls(spark, sf_dir):
+    """Tables, paths in variables, schemas and modes behind them, unions, columns of select, groupBy and withColumn."""
+    records = script_extract.paths(script_extract.parse_scripts(_views(spark, sf_dir, _CALLS)))
+    return records.selectExpr(
+        "pipeline_name", "array_join(source_paths, ',') AS sources", "array_join(sink_paths, ',') AS sinks",
+        """array_join(transform(transformations, t -> t.operation || '(' || array_join(t.input_vars, '+') || ')[' ||
+          coalesce(t.details.column, array_join(coalesce(t.details.columns, t.details.group_by), '+'), '') || ']' || coalesce(t.output_var, '')), ',') AS steps""",
+    )
+
+
 # --- merged graph ---------------------------------------------------------------------------------------------------
 
 
@@ -275,13 +308,11 @@ def topo_levels(spark, sf_dir):
     return graph.topological_order(*provenance(spark, sf_dir)).select("node", "level")
 
 
-_SMALL = "lvl <= 3"
-
-
-@query(f"""{_FK}, s AS (SELECT * FROM e WHERE {_SMALL}), c AS (SELECT src, dst FROM s UNION SELECT c.src, s.dst FROM c JOIN s ON s.src = c.dst)
-SELECT node, (SELECT count(*) FROM c WHERE c.dst = node) AS upstream_count, (SELECT count(*) FROM c WHERE c.src = node) AS downstream_count FROM n WHERE {_SMALL}""")
+@query(f"""{_FK}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst),
+u AS (SELECT dst AS node, count(*) AS k FROM c GROUP BY dst), d AS (SELECT src AS node, count(*) AS k FROM c GROUP BY src)
+SELECT node, coalesce(u.k, 0) AS upstream_count, coalesce(d.k, 0) AS downstream_count FROM n LEFT JOIN u USING (node) LEFT JOIN d USING (node)""")
 def closure_counts(spark, sf_dir):
-    return graph.closure_counts(*provenance(spark, sf_dir))  # the whole graph, unlike its twin
+    return graph.closure_counts(*provenance(spark, sf_dir))
 
 
 _DECODE = "CASE b % 5 WHEN 0 THEN [('amount', 'price*amount')] WHEN 1 THEN [('*', '*')] WHEN 2 THEN [('id', 'id'), ('total', 'SUM(amount)')] WHEN 3 THEN [('id', 'customer_id')] ELSE [('*', 'x')] END"
@@ -299,6 +330,30 @@ def simple_paths(spark, sf_dir):
     return graph.end_to_end_paths(provenance(spark, sf_dir)[1], "nation::3", "part::1").selectExpr("array_join(path, ' > ') AS path")
 
 
+@query("SELECT string_agg('dbt::m' || k, ' > ' ORDER BY k) AS path FROM range(61) r(k) WHERE (SELECT count(*) FROM part WHERE p_partkey BETWEEN 1 AND 60) = 60 HAVING count(*) > 0")
+def chain_paths(spark, sf_dir):
+    """A path of sixty edges through the models."""
+    models = dbt_extract.parse_dbt_models(_views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}")).withColumnRenamed("k", "ord"))
+    u = merge.add_dbt(merge.Unified.empty(spark), models)
+    return merge.end_to_end_paths(u, "dbt::m0", "dbt::m60").selectExpr("array_join(path, ' > ') AS path")
+
+
+@query(f"SELECT node, system, node_type FROM ({NODES}) x WHERE node = 'nation::7'")
+def node_attributes(spark, sf_dir):
+    return graph.node_metadata(provenance(spark, sf_dir)[0], "nation::7").select("node", "system", "node_type")
+
+
+@query(f"SELECT node FROM ({NODES}) x")
+def table_names(spark, sf_dir):
+    return graph.all_tables(provenance(spark, sf_dir)[0])
+
+
+@query(f"SELECT 'node' AS kind, node AS a, system AS b FROM ({NODES}) n UNION ALL SELECT 'edge', src, dst FROM ({EDGES}) e")
+def graph_json(spark, sf_dir):
+    lines = graph.as_json(*provenance(spark, sf_dir))
+    return lines.selectExpr("kind", "coalesce(get_json_object(json, '$.node'), get_json_object(json, '$.src')) AS a", "if(kind = 'node', get_json_object(json, '$.system'), get_json_object(json, '$.dst')) AS b")
+
+
 @query(f"SELECT src, dst FROM ({_U_EDGES}) e WHERE system = 'dbt'")
 def subgraph_edges(spark, sf_dir):
     return merge.subgraph(unified(spark, sf_dir), "dbt")[1].select("src", "dst")
@@ -371,6 +426,16 @@ def blast_summary(spark, sf_dir):
     return impact.summary(c, impact.simulate(*provenance(spark, sf_dir), c))
 
 
+@query(_blast_sql(f"SELECT change_id, changed_node, total_impacted, total_fix_hours, total_impacted AS listed FROM ({_TOTALS}) t"))
+def blast_json(spark, sf_dir):
+    c = _changes(spark)
+    lines = impact.as_json(c, impact.simulate(*provenance(spark, sf_dir), c))
+    return lines.selectExpr(
+        "change_id", "get_json_object(json, '$.changed_node') AS changed_node", "CAST(get_json_object(json, '$.total_impacted') AS BIGINT) AS total_impacted",
+        "CAST(get_json_object(json, '$.total_fix_hours') AS DOUBLE) AS total_fix_hours", "CAST(coalesce(json_array_length(get_json_object(json, '$.impacted_nodes')), 0) AS BIGINT) AS listed",
+    )
+
+
 @query(_blast_sql("SELECT substr(node, 1, 40) AS node, upper(system) AS system, severity, CAST(hop AS INTEGER) AS hop, substr(reason, 1, 60) AS reason, format('{:.1f}', CAST(hours AS DOUBLE)) AS hours FROM imp WHERE change_id = '1'"))
 def impact_grid(spark, sf_dir):
     return report.impact_grid(impact.simulate(*provenance(spark, sf_dir), _changes(spark).where("change_id = '1'")))
@@ -418,19 +483,60 @@ def default_target(spark, sf_dir):
     return report.default_target(provenance(spark, sf_dir)[0])
 
 
-@query(f"SELECT node, CASE WHEN lvl = 1 THEN 'new' ELSE 'old' END AS version FROM ({NODES}) x WHERE lvl <= 2")
+@query(f"SELECT node, CASE WHEN lvl = 1 THEN 'new' ELSE 'old' END AS version FROM ({NODES}) x")
 def upsert_nodes(spark, sf_dir):
     n = provenance(spark, sf_dir)[0].selectExpr("node", "'old' AS version", "seq")
     new = n.where("seq[0] = 1").withColumn("version", F.lit("new"))
     return store.upserted_nodes(n, new).select("node", "version")
 
 
-@query(f"SELECT src, dst, CASE WHEN lvl = 2 THEN 'new' ELSE system END AS version FROM ({EDGES}) x WHERE lvl <= 3")
+@query(f"SELECT src, dst, CASE WHEN lvl = 2 THEN 'new' ELSE system END AS version FROM ({EDGES}) x")
 def upsert_edges(spark, sf_dir):
     e = provenance(spark, sf_dir)[1].selectExpr("src", "dst", "system AS version", "seq")
     return store.upserted_edges(e, e.where("seq[0] = 2").withColumn("version", F.lit("new"))).select("src", "dst", "version")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    materialise(spark.range(1))  # sets the folder where the session hasn't
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""SELECT 'node' AS kind, node AS a, CAST(is_source AS VARCHAR) AS b FROM ({SQL["sql_graph_nodes"]}) n UNION ALL SELECT 'edge', src, dst FROM ({SQL["sql_graph_edges"]}) e
+UNION ALL SELECT 'health', 'true', 'true'""")
+def store_round_trip(spark, sf_dir):
+    """An empty store, filled by upserts, read again."""
+    nodes, edges = graph.graph_of(materialise(_records(spark, sf_dir)), "-")
+    kept = store.Store(spark, _folder(spark, "store"))
+    before = kept.health()
+    kept.create()
+    kept.upsert_nodes(nodes)
+    kept.upsert_edges(edges)
+    health = spark.sql("SELECT 'health' AS kind, :a AS a, :b AS b", args={"a": str(not before).lower(), "b": str(kept.health()).lower()})
+    return kept.load_nodes().selectExpr("'node' AS kind", "node AS a", "CAST(is_source AS STRING) AS b").unionByName(kept.load_edges().selectExpr("'edge' AS kind", "src AS a", "dst AS b")).unionByName(health)
+
+
+@query("""WITH r AS (SELECT 'r' || r_regionkey AS t FROM region), n AS (SELECT 'n' || n_nationkey AS t, 'r' || n_regionkey AS up FROM nation)
+SELECT 'table' AS answer, t AS value FROM (SELECT 'world' AS t UNION ALL SELECT t FROM r UNION ALL SELECT t FROM n) x
+UNION ALL SELECT 'upstream', up FROM n WHERE t = 'n3' UNION ALL SELECT 'upstream', 'world' UNION ALL SELECT 'downstream', t FROM n WHERE up = 'r1'
+UNION ALL SELECT 'impact', 'world > ' || t FROM r UNION ALL SELECT 'impact', 'world > ' || up || ' > ' || t FROM n
+UNION ALL SELECT 'parsed', CAST(count(*) AS VARCHAR) FROM (SELECT t FROM r UNION ALL SELECT t FROM n) x UNION ALL SELECT 'unknown', 'nowhere'""")
+def service_answers(spark, sf_dir):
+    """A service that is told one text with a statement for each region and nation."""
+    rows = _views(spark, sf_dir, "SELECT 'INSERT INTO r' || r_regionkey || ' SELECT a FROM world' AS s FROM region UNION ALL SELECT 'INSERT INTO n' || n_nationkey || ' SELECT a FROM r' || n_regionkey FROM nation").collect()
+    said = service.Service(spark)
+    parsed = said.parse(";\n".join(r["s"] for r in rows))
+    answers = [("parsed", str(parsed["parsed_statements"]))]
+    try:
+        said.lineage("nowhere")
+    except service.UnknownTable as e:
+        answers.append(("unknown", e.args[0]))
+    lineage = said.lineage("n3")["upstream"].selectExpr("'upstream' AS answer", "node AS value")
+    out = said.tables().selectExpr("'table' AS answer", "node AS value").unionByName(lineage).unionByName(said.downstream("r1").selectExpr("'downstream' AS answer", "node AS value"))
+    out = out.unionByName(said.impact("world").selectExpr("'impact' AS answer", "array_join(path, ' > ') AS value"))
+    return out.unionByName(spark.createDataFrame(answers, "answer string, value string"))
+
+
 # --- the five steps of a retail pipeline, run on the tables -----------------------------------------------------------
 # Both dialects read these: extraction, customers, enrichment, daily sales, rolling mart.
 
