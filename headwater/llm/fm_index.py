@@ -23,11 +23,12 @@ class BitVector:
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position ``i``."""
-        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.counts[i >> 6] + np.bitwise_count(self.words[i >> 6] & low).astype(np.int64)
+        low = (np.uint64(1) << (i & 63).view(np.uint64)) - np.uint64(1)
+        at = i >> 6
+        return self.counts[at] + np.bitwise_count(self.words[at] & low)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return (self.words[i >> 6] >> (i & 63).view(np.uint64) & np.uint64(1)).astype(bool)
 
     @property
     def nbytes(self) -> int:
@@ -187,7 +188,8 @@ class FMIndex:
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the matches with one more word in front."""
-        return self.c[c] + self.bwt.rank(c, lo), self.c[c] + self.bwt.rank(c, hi)
+        both = self.c[c] + self.bwt.rank(np.concatenate((c, c)), np.concatenate((lo, hi))).reshape(2, -1)
+        return both[0], both[1]
 
     def shorten(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next greater intervals and the lengths of their matches: words are dropped at the end."""

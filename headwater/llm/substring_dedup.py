@@ -7,7 +7,7 @@ of one anchor. Level by level:
 1. Anchors of the windows that are open (at first all); those of two documents or more go on.
 2. The segments of these anchors, each different one once, with the least and the greatest doc_id it occurs in. An
    anchor's leader is its least doc_id.
-3. Shards, by anchor: the leaders' segments are put into an FM-index, and the segments of all other documents stream
+3. Shards, by anchor: the leaders' segments are put into an FM-index, and all segments that no leader holds stream
    through its backward search. Where the matching statistics reach ``WINDOW``, the leader has the window, and the
    stretch is reported. Where they don't, the window stays open. Segments of a frequent anchor are dealt out in chunks,
    each with the leader's.
@@ -201,14 +201,15 @@ def _shard(block: int):
     """Over rows (anchor, chunk, digest, content, leads, streams, source) sorted by the first two; a chunk stays together."""
 
     def run(batches):
-        indexed, streamed, names, words, key = [], [], [], 0, None
+        indexed, streamed, names, same, words, key = [], [], [], [], 0, None
 
         def done():
-            if not streamed:
-                return None
-            owner, at, n, gone = search_block(indexed, streamed)
-            cuts = np.searchsorted(owner, np.arange(len(streamed) + 1)).tolist()
-            return batch(_FOUND, *zip(*((names[j][0], at[a:b], n[a:b], gone[a:b], names[j][1]) for j, (a, b) in enumerate(zip(cuts, cuts[1:])))))
+            rows = [(digest, [0], [n], [True], source) for digest, n, source in same]
+            if streamed:
+                owner, at, n, gone = search_block(indexed, streamed)
+                cuts = np.searchsorted(owner, np.arange(len(streamed) + 1)).tolist()
+                rows += ((names[j][0], at[a:b], n[a:b], gone[a:b], names[j][1]) for j, (a, b) in enumerate(zip(cuts, cuts[1:])))
+            return batch(_FOUND, *zip(*rows)) if rows else None
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(7))):
@@ -216,13 +217,15 @@ def _shard(block: int):
                 if words >= block and key != (anchor, chunk):
                     if (out := done()) is not None:
                         yield out
-                    indexed, streamed, names, words = [], [], [], 0
+                    indexed, streamed, names, same, words = [], [], [], [], 0
                 key = (anchor, chunk)
                 w = content.split(b" ")
                 words += len(w)
                 if leads:
                     indexed.append((anchor, w))
-                if streams:
+                if leads and streams:  # others hold the very text that is indexed
+                    same.append((digest, len(w) - WINDOW + 1, source))
+                elif streams:
                     streamed.append((anchor, w))
                     names.append((digest, source))
         if (out := done()) is not None:
@@ -261,7 +264,7 @@ def _routes(parts: DataFrame) -> DataFrame:
 
 def _sharded(parts: DataFrame) -> DataFrame:
     """(anchor, chunk, digest, content, leads, streams, source): the rows of the shards, by anchor and chunk. A leader's
-    text goes to all chunks of its anchor and is itself looked up in one of them."""
+    text goes to all chunks of its anchor; its other holders are told in one of them."""
     text = parts.where("content is not null").groupBy("digest").agg(F.first("content").alias("content"))
     copies = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))
     rows = text.join(_routes(parts), "digest").select("*", F.explode(copies).alias("chunk")).withColumn("streams", F.col("streams") & (F.col("home") == F.col("chunk")))
