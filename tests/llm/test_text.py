@@ -1,6 +1,7 @@
 """Quality rules, BPE, packing, HTML, URL filters, licence scans and quotation threads."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -283,30 +284,86 @@ def test_url_filter_dates_that_are_none(spark):
 # --- licence scans
 
 
-def test_license_scan_equals_brute_force(spark):
-    rng = random.Random(8)
-    bits = ["cc", "by", "BY", "nc", "4", "0", "general", "public", "License", "all", "rights", "reserved", "é", "—", "x", "the", "mit", "licensed", "under"]
+def words_like_a_scan(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def brute_licences(texts, templates):
+    """(labels, score) of each text by trying every start of every template."""
+    docs = [words_like_a_scan(t) for t in texts]
+    out = []
+    plans = []
+    for label, keys, text in templates:
+        t = words_like_a_scan(text)
+        idf = {w: math.log((1 + len(docs)) / (1 + sum(w in d for d in docs))) for w in t}
+        index = sorted(idf, key=lambda w: (-idf[w], w))[: min(6, max(2, -(-len(idf) // 2)))]
+        places = [(next(i for i in range(len(t)) if t[i : i + len(k)] == k), k) for k in map(words_like_a_scan, keys)]
+        plans.append((label, t, set(index), places))
+    for d in docs:
+        labels, score = set(), 0.0
+        for label, t, index, places in plans:
+            for o in range(-len(t), len(d)):
+                at = [i for i in range(len(t)) if 0 <= o + i < len(d) and d[o + i] == t[i]]
+                if len({t[i] for i in at} & index) >= 2 and all(o + p >= 0 and d[o + p : o + p + len(k)] == k for p, k in places):
+                    labels.add(label)
+                    score = max(score, len(at) / len(t))
+        out.append((labels, score))
+    return out
+
+
+def scan_texts(rng, templates):
+    """Odd texts, whole templates, templates cut, changed and put one into the other."""
+    bits = ["cc", "by", "BY", "nc", "4", "0", "general", "public", "License", "all", "rights", "reserved", "é", "—", "x", "the", "mit", "licensed", "under", "released", "cc0", "1"]
     texts = [None, "", "CC-BY", "cc by cc by", "All rights\nreserved. General  public license!"] + [rng.choice([" ", "-", ", "]).join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(120)]
-    texts += [t.title() + " filler " * 30 for _, _, t in license_scan.TEMPLATES] + ["Released under the MIT Licence", "the license of mit, the mit way"]
-    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, texts)).collect()}
-    for i, t in enumerate(texts):
-        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    texts += [t.title() + " filler " * 30 for _, _, t in templates] + ["Released under the MIT Licence", "the license of mit, the mit way"]
+    for _ in range(60):
+        w = rng.choice(templates)[2].split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = rng.choice(bits)
+        if rng.random() < 0.4:
+            w = w[rng.randrange(len(w)) :] + rng.choice(templates)[2].split()
+        if rng.random() < 0.3:
+            w.insert(rng.randrange(len(w)), "more")
+        texts.append("pre " * rng.randrange(3) + rng.choice([" ", "\n", " * "]).join(w))
+    return texts
+
+
+def test_license_scan_equals_brute_force(spark):
+    templates = license_scan.TEMPLATES
+    texts = scan_texts(random.Random(8), templates)
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, texts).repartition(3)).collect()}
+    for i, (t, (own, score)) in enumerate(zip(texts, brute_licences(texts, templates))):
+        w = words_like_a_scan(t)
         at = [(k, label) for label, p in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         r = got[i]
         assert (r.n_words, r.n_base) == (len(w), len(at))
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
-        assert r.base_labels == ",".join(sorted({x for _, x in at})) and {x for _, x in at} <= set(r.labels.split(",")) and 0 <= r.score <= 1
-        for label, key, _ in license_scan.TEMPLATES:  # a label needs its key phrase
-            if label in r.labels.split(","):
-                assert any(w[k : k + len(p.split())] == p.split() for lab, p, _ in license_scan.TEMPLATES if lab == label for k in range(len(w)))
-    for k, (label, _, _) in enumerate(license_scan.TEMPLATES):
-        r = got[125 + k]
-        assert label in r.labels.split(",") and r.score == 1.0
-    assert got[len(texts) - 1].labels == "" and got[len(texts) - 2].labels == ""
+        assert r.base_labels == ",".join(sorted({x for _, x in at}))
+        assert r.labels == ",".join(sorted({x for _, x in at} | own)) and abs(r.score - score) < 1e-12, t
+    for k, (label, _, _) in enumerate(templates):
+        assert label in got[125 + k].labels.split(",") and got[125 + k].score == 1.0
+    assert got[127 + len(templates) - 1].labels == ""
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_license_scan_of_many_templates_and_a_long_text(spark):
+    rng = random.Random(4)
+    words = [f"t{i}" for i in range(900)]
+    templates = []
+    for k in range(300):
+        w = [rng.choice(words) for _ in range(rng.randrange(4, 30))]
+        templates.append((f"l{k:03}", (" ".join(w[1:3]), " ".join(w[-2:])), " ".join(w)))
+    long = " ".join(rng.choice(words) for _ in range(30_000))
+    texts = [long + " " + templates[7][2] + " " + templates[8][2], templates[9][2], " ".join(templates[10][2].split()[:-1]), None]
+    docs = docs_of(spark, texts)
+    rows = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    got = [(r.doc_id, r.labels, r.score) for r in license_scan.scan(rows, templates).collect()]
+    by_id = dict((i, (labels, score)) for i, labels, score in got)
+    assert {"l007", "l008"} <= set(by_id[0][0].split(",")) and by_id[0][1] == 1.0
+    assert sorted((str(i), labels) for i, labels, _ in got if labels == "l009") == [("1", "l009")] * 2 + [("None", "l009")]
+    assert "l010" not in by_id[2][0] and by_id[3] == ("", 0.0)
+
+
 # --- quotation threads
 
 
