@@ -13,7 +13,8 @@ running branch is worked out in blocks of turns, then between blocks.
 
 Cases: null text counts as empty; rows with a null conv_id or turn link with nothing and are roots; rows that tie
 in conversation and turn are told apart by their text only, equal ones get equal results; quotes of messages that
-aren't in the conversation are counted in ``n_unlinked``; other columns stay out; an empty table gives an empty one.
+aren't in the conversation are counted in ``n_unlinked``; messages of any length are parsed whole; other columns, whatever
+their names, stay out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BLOCK = 4096
 
 _MARKS = r"^(?:[ \t]*>)+"
 #: A line that announces a quote: "... wrote:" or "... schrieb:" and the like.
-_ATTRIBUTION = r"(?i)^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió):\s*$"
+_ATTRIBUTION = r"(?is)^.*\b(?:wrote|writes|said|schrieb|a écrit|escribió):\s*$"
 
 
 def _lines(text: Column) -> Column:
@@ -40,16 +41,20 @@ def _lines(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """array<struct<level, line>>: lines of one level in a row, joined by spaces; blank lines part them."""
-    empty = F.array().cast("array<struct<level:int,line:string>>")
+    """array<struct<level, line>>: lines of one level in a row, joined by spaces; blank lines part them. A passage is cut
+    out between its first line and the next one's, so that time is in proportion to the lines."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grows = (F.size(acc) > 0) & (last.level == x.level) & (last.line != "") & (x.line != "")
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x.level.alias("level"), F.concat_ws(" ", last.line, x.line).alias("line"))))
-        return F.when(grows, grown).otherwise(F.concat(acc, F.array(x)))
+    def first(x: Column, i: Column) -> Column:
+        before = F.get(lines, i - 1)
+        return F.when((i == 0) | (x.line == "") | (before.line == "") | (before.level != x.level), i)
 
-    return F.filter(F.aggregate(lines, empty, step), lambda p: p.line != "")
+    def joined(starts: Column) -> Column:
+        bounds = F.arrays_zip(starts.alias("lo"), F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(lines))).alias("hi"))
+        return F.transform(bounds, lambda b: F.struct(F.get(lines, b.lo).level.alias("level"), F.array_join(F.transform(F.slice(lines, b.lo + 1, b.hi - b.lo), lambda x: x.line), " ").alias("line")))
+
+    starts = F.filter(F.transform(lines, first), lambda i: i.isNotNull())
+    whole = F.get(F.transform(F.array(starts), joined), 0)  # the starts are worked out once
+    return F.filter(whole, lambda p: p.line != "")
 
 
 def _normal(passage: Column) -> Column:

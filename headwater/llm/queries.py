@@ -73,8 +73,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def with_quotes(messages: DataFrame) -> DataFrame:
+    """``messages`` as mail: no message of the table quotes another, so three of four put an earlier one of their
+    conversation in front of their own words, with the quote that this one holds in turn. Which one follows from the
+    numbers of conversation and turn."""
+    back = lambda turn: F.pmod(F.col("conv_id") * 7 + F.col(turn) * 3, F.lit(4))
+    said = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    rows = messages.select("conv_id", "turn", "role", "text").withColumn("t1", F.when(back("turn") > 0, F.col("turn") - back("turn")))
+    rows = rows.withColumn("t2", F.when(back("t1") > 0, F.col("t1") - back("t1")))
+    for k in "12":
+        rows = rows.join(said.select("conv_id", F.col("turn").alias(f"t{k}"), F.col("said").alias(f"s{k}")), ["conv_id", f"t{k}"], "left")
+    quote = lambda marks, text: F.concat(F.lit(marks), F.replace(text, F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+    nested = F.coalesce(quote("> > ", F.col("s2")), F.lit(""))
+    mail = F.concat(F.lit("On turn "), F.col("t1").cast("string"), F.lit(" someone wrote:\n"), nested, quote("> ", F.col("s1")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", "role", F.coalesce(mail, F.col("text")).alias("text"))
+
+
 def op9_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    threads = chat_threads.quotation_threads(_table(spark, sf_dir, "conversations"))
+    threads = chat_threads.quotation_threads(with_quotes(_table(spark, sf_dir, "conversations")))
     return threads.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))  # -1: a root
 
 
@@ -131,8 +147,14 @@ FROM c LEFT JOIN v USING (page_id)
 """
 
 _OP9 = r"""
-WITH l AS (SELECT conv_id, turn, i, regexp_extract(line, '^(?:[ \t]*>)+') AS marks, trim(regexp_replace(line, '^(?:[ \t]*>)+', ''), ' ') AS line
-  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations)),
+WITH said AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL),
+b1 AS (SELECT conv_id, turn, role, text, CASE WHEN (conv_id * 7 + turn * 3) % 4 > 0 THEN turn - (conv_id * 7 + turn * 3) % 4 END AS t1 FROM conversations),
+b2 AS (SELECT *, CASE WHEN ((conv_id * 7 + t1 * 3) % 4 + 4) % 4 > 0 THEN t1 - ((conv_id * 7 + t1 * 3) % 4 + 4) % 4 END AS t2 FROM b1),
+mails AS (SELECT b.conv_id, b.turn, b.role, coalesce('On turn ' || t1 || ' someone wrote:' || chr(10) || coalesce('> > ' || replace(y.said, chr(10), chr(10) || '> > ') || chr(10), '')
+    || '> ' || replace(x.said, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(b.text, ''), b.text) AS text
+  FROM b2 b LEFT JOIN said x ON x.conv_id = b.conv_id AND x.turn = t1 LEFT JOIN said y ON y.conv_id = b.conv_id AND y.turn = t2),
+l AS (SELECT conv_id, turn, i, regexp_extract(line, '^(?:[ \t]*>)+') AS marks, trim(regexp_replace(line, '^(?:[ \t]*>)+', ''), ' ') AS line
+  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM mails)),
 x AS (SELECT *, length(marks) - length(replace(marks, '>', '')) AS level FROM l),
 y AS (SELECT *, CASE WHEN line = '' OR lag(line) OVER o IS NULL OR lag(line) OVER o = '' OR lag(level) OVER o <> level THEN 1 ELSE 0 END AS new FROM x WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)),
 p AS (SELECT conv_id, turn, level, lower(trim(regexp_replace(string_agg(line, ' ' ORDER BY i), '\s+', ' ', 'g'))) AS passage
@@ -141,9 +163,13 @@ f AS (SELECT conv_id, passage, min(turn) AS original FROM p WHERE level = 0 GROU
 q AS (SELECT DISTINCT p.conv_id, p.turn, p.level, passage, CASE WHEN original < p.turn THEN original END AS original FROM p LEFT JOIN f USING (conv_id, passage) WHERE level > 0),
 k AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (original IS NULL) AS n_unlinked, max(level) AS quote_depth,
   max(CASE WHEN original IS NOT NULL THEN struct_pack(l := -level, o := original) END).o AS original FROM q GROUP BY ALL),
-m AS (SELECT c.*, lag(c.turn) OVER (PARTITION BY conv_id ORDER BY c.turn) AS previous, k.* EXCLUDE (conv_id, turn) FROM conversations c LEFT JOIN k USING (conv_id, turn)),
-s AS (SELECT *, max(CASE WHEN previous IS NULL OR original <> previous THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch_turn,
-  coalesce(text, '') AS words FROM m)
+z AS (SELECT *, lead(level, 1, 0) OVER (PARTITION BY conv_id, turn ORDER BY i) AS next FROM x),
+o AS (SELECT conv_id, turn, max(level) > 0 AS quoted, trim(regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i)
+    FILTER (level = 0 AND NOT (next > 0 AND regexp_matches(line, '(?i)^.*\b(?:wrote|writes|said|schrieb|a écrit|escribió):\s*$'))), ''), '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS own FROM z GROUP BY conv_id, turn),
+m AS (SELECT c.*, lag(c.turn) OVER (PARTITION BY conv_id ORDER BY c.turn) AS previous, k.* EXCLUDE (conv_id, turn), CASE WHEN o.quoted THEN o.own ELSE coalesce(c.text, '') END AS words
+  FROM mails c LEFT JOIN k USING (conv_id, turn) LEFT JOIN o USING (conv_id, turn)),
+s AS (SELECT *, max(CASE WHEN previous IS NULL OR original <> previous THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch_turn
+  FROM m)
 SELECT conv_id, turn, role, words AS text, coalesce(original, previous, -1) AS parent_turn, original IS NOT NULL AS linked, branch_turn,
   CAST(coalesce(quote_depth, 0) AS BIGINT) AS quote_depth, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_unlinked, 0) AS BIGINT) AS n_unlinked,
   '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || words || chr(10) || '<|end|>' || chr(10) AS chat FROM s
