@@ -20,10 +20,13 @@ def text_bytes(name: str = "text") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none (tests)."""
+    """The shared folder of the cluster. Where the session names none, a folder of our own does if all runs in one
+    process; on a cluster other machines couldn't read it, so that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = dict(sc.getConf().getAll()).get("spark.checkpoint.dir")
+        if not shared and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="headwater-checkpoints-"))
     return sc.getCheckpointDir()
 

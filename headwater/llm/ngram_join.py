@@ -6,10 +6,11 @@ Sieve. Equal sets count as one from here on. In any one order of all shingles, t
 shingles among the first n - ceil(0.8 n) + l of each. With l a tenth of the set, a set of which fewer shingles of that
 prefix occur in any other set's prefix links with nothing; that leaves the sets with near copies and little else.
 
-Regions. Random pivots are useless here: nearly all documents are at distance 1 from any of them. But of two linked
-sets the first fifth of the shingles of each share a shingle (l = 1). So the documents that have a shingle in
-that prefix elect a pivot, the least of them, and the pivot's Voronoi region is all documents that elected it: any
-two that link meet in a region. The order puts frequent shingles last, so prefixes touch few regions.
+Regions. A region isn't all documents that are nearest to a random pivot: nearly all are almost as far from any
+pivot as from the nearest, so that the windows of the triangle inequality replicate a document to most regions (the README
+has figures). But of two linked sets the first fifth of the shingles of each share a shingle (l = 1). So the documents
+that have a shingle in that prefix elect a pivot, the least of them, and the pivot's region is all documents that elected
+it: any two that link meet in a region. The order puts frequent shingles last, so prefixes touch few regions.
 
 1. Prefixes elect pivots; the distance of every member to its pivot is worked out from the full sets. Members
    within 0.2 link with the pivot and so are one class: pairs inside that ball need no look.
@@ -53,6 +54,8 @@ OFTEN = 8
 #: Members in a chunk of a hot region. Comparisons (unresolved members times members) and shingles of a region that one
 #: task joins at most; comparisons of a region that is cut into cells at most, beyond which it elects new pivots.
 CHUNK, TASK_PAIRS, TASK_SHINGLES, CELL_PAIRS = 512, 1_000_000, 4_000_000, 400_000_000
+#: Shingles, about, in each of the two chunks of a cell, so that chunks of long documents hold fewer of them.
+CHUNK_SHINGLES = 2_000_000
 #: Width of a ring; two members within the window lie at most REACH_RINGS rings apart.
 RING, REACH_RINGS = 0.05, 5
 
@@ -107,9 +110,9 @@ def _sets(texts):
 
 
 def _digested(batches):
-    """(doc_id, set, digest as two integers) of the rows of a stream."""
+    """(doc_id, set, digest as two integers) of the rows of a stream, a text at a time."""
     for b in batches:
-        for doc_id, s in zip(b.column(0).to_pylist(), _sets(b.column(1).to_pylist())):
+        for doc_id, s in zip(b.column(0).to_pylist(), _sets(t.as_py() for t in b.column(1))):
             h = xxhash.xxh3_128_intdigest(s.tobytes())
             yield doc_id, s, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
@@ -262,10 +265,17 @@ _FETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", pa.b
 
 
 def _fetch(batches):
+    """Sets as bytes; some megabytes of them are held at a time, however many rows a batch has."""
+    rows, held = [], 0
     for b in batches:
-        rows = [(i, len(s), s.tobytes()) for i, s in zip(b.column(0).to_pylist(), _sets(b.column(1).to_pylist()))]
-        for k in range(0, len(rows), 500):
-            yield batch(_FETCH, *zip(*rows[k : k + 500]))
+        for i, s in zip(b.column(0).to_pylist(), _sets(t.as_py() for t in b.column(1))):
+            rows.append((i, len(s), s.tobytes()))
+            held += s.nbytes
+            if held >= 1 << 22 or len(rows) >= 500:
+                yield batch(_FETCH, *zip(*rows))
+                rows, held = [], 0
+    if rows:
+        yield batch(_FETCH, *zip(*rows))
 
 
 _MEASURED = pa.schema([(c, pa.int64()) for c in ("pivot", "doc_id", "np", "n", "common")])
@@ -361,7 +371,7 @@ def _cells(large: DataFrame) -> DataFrame:
     unresolved members."""
     ring = F.floor(F.col("dist") / RING).cast("int")
     rows = large.withColumn("ring", ring)
-    salts = rows.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))
+    salts = rows.groupBy("pivot", "ring").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("salts"))
     rows = rows.join(salts, ["pivot", "ring"]).withColumn("chunk", F.col("ring") * 1_000_000 + F.pmod(F.xxhash64("doc_id"), "salts").cast("int"))
     chunks = rows.groupBy("pivot", "chunk").agg(F.max(~F.col("resolved")).alias("open"), F.max("ring").alias("ring"))
     a = chunks.where("open").select("pivot", F.col("chunk").alias("of"), F.col("ring").alias("r1"))
@@ -427,7 +437,7 @@ def similar_links(base: DataFrame, profile: DataFrame) -> DataFrame:
         reach = (DEN - NUM) / DEN + 1e-9
         open_ = table.join(far, "pivot").where(f"not resolved or dist >= nearest - {reach}")
         open_size = open_.groupBy("pivot").agg(F.count("*").alias("members"), (F.count("*") * F.count_if(~F.col("resolved"))).alias("pairs"), F.sum("size").alias("shingles")).where("members > 1")
-        open_ = cut(open_.join(open_size, "pivot").select("pivot", "doc_id", "dist", "resolved", "pairs", "shingles"))
+        open_ = cut(open_.join(open_size, "pivot").select("pivot", "doc_id", "size", "dist", "resolved", "pairs", "shingles"))
         fits = (F.col("pairs") <= TASK_PAIRS) & (F.col("shingles") <= TASK_SHINGLES)
         small = open_.where(fits).select("pivot", "doc_id", "dist", "resolved").join(sets.select("doc_id", "shingles"), "doc_id")
         local = small.repartition(n, "pivot").sortWithinPartitions("pivot", "dist", "doc_id").select("pivot", "doc_id", "dist", "resolved", "shingles", F.lit(None).cast("int").alias("side"))
@@ -461,6 +471,6 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component (its smallest doc_id, one row of it), with all
     their columns; rows with a null doc_id stay."""
     keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__hw_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text_bytes())))
     kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__hw_id"), "left_semi").withColumn("__hw_n", first).where("__hw_n = 1").drop("__hw_n")
     return kept.unionByName(docs.where("doc_id is null"))
