@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder of the cluster and go on from there: the plan stays short over many
     rounds, a relation that is read several times is computed once, and a lost executor costs nothing done before.
-    A folder of our own is used only where the session names none."""
+    A folder of our own is used only where the session names none and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = dict(sc.getConf().getAll()).get("spark.checkpoint.dir")
+        if not shared and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="headwater-checkpoints-"))
     return df.checkpoint(eager=True)
