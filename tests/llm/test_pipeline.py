@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force; and the queries' contract."""
 
+import os
 import re
 import zlib
 
@@ -67,9 +68,47 @@ def test_stages_equal_brute_force(spark):
     assert all(p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) for p in pieces)
 
 
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
 def test_run_gives_the_pieces_of_the_last_stage(spark):
+    """All of the stages at once give what they give one by one, and leave one table behind."""
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+    assert out.columns == PIECES
+    left = [d for d in os.listdir(folder) if d.startswith("pipeline-") and d not in before]
+    assert len(left) == 1 and os.listdir(f"{folder}/{left[0]}") == ["3"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        if k < 4:
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
+    assert sorted(map(key, out.collect())) == sorted(map(key, docs.collect()))
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "clash"])
+def test_run_over_odd_tables(spark, tmp_path, kind):
+    good = " ".join(f"Word{i} and{i}," for i in range(60))
+    rows = {
+        "empty": [],
+        "nulls": [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, None), (None, good, None, None, None), (3, good + " end", "en", "s", None), (3, good + " end", "en", "s", None)],
+        "clash": [(i, f"{good} {i}" if i % 2 else good.replace("Word", f"x{i}y").replace("and", f"z{i}y"), "en", "s", 1) for i in range(12)],
+    }[kind]
+    names = "anchor digest kept rejected pivot row runs __hw__ ids file chunk slot"
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {n} string" for n in names.split())
+    docs = spark.createDataFrame([(*r, *["v"] * len(names.split())) for r in rows], schema)
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == PIECES
+    found = out.collect()
+    if kind == "empty":
+        assert found == []
+    elif kind == "nulls":  # the text of the null doc_id and that of document 3 are the ones with words
+        assert {r.doc_id for r in found} == {None, 3} and sum(r.start == 0 for r in found) == 2
+    else:
+        assert {r.doc_id for r in found} == {1} | set(range(0, 12, 2))
 
 
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if n.startswith("op")])
