@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -18,3 +19,11 @@ def materialise(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="headwater-checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out to all cores where it has fewer partitions than there are, as a small table in
+    one row group has: work on its texts would else stay in one task. Tables of more partitions are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    found = df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+    return df if found is None or found + 1 >= cores else df.repartition(cores)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.operators import dbt_extract, graph, impact, merge, report, script_extract, service, sql_extract, store
-from headwater.plans.stages import materialise
+from headwater.plans.stages import materialise, spread
 from headwater.sources.files import airflow_tasks
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -95,7 +95,7 @@ FROM orders"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql_extract.extract_sql(_views(spark, sf_dir, _STATEMENTS))
+    return sql_extract.extract_sql(spread(_views(spark, sf_dir, _STATEMENTS)))
 
 
 @query(_SQL_RECORDS)
@@ -179,7 +179,7 @@ SELECT 'p' || s_suppkey AS pipeline_name, s_suppkey AS ord, 'a = spark.read.parq
 
 def _scripts(spark, sf_dir) -> DataFrame:
     code = _views(spark, sf_dir, _SCRIPTS.replace("{", "{{").replace("}", "}}"))
-    return script_extract.parse_scripts(code).withColumn("ord", F.substring("pipeline_name", 2, 20).cast("bigint"))
+    return script_extract.parse_scripts(spread(code)).withColumn("ord", F.substring("pipeline_name", 2, 20).cast("bigint"))
 
 
 @query("""SELECT 'p' || s_suppkey AS pipeline_name, 's3://lake/a' || s_suppkey || '/:parquet,s3://lake/b' || (s_suppkey % 10) || ':csv' AS sources,
