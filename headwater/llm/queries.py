@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headwater.plans.stages import spread
+
 from . import bpe, chat_threads, exact_dedup, html_extract, license_scan, ngram_join, packing, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; a small one of few row groups is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
