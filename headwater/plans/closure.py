@@ -17,7 +17,7 @@ def reach(edges: DataFrame, roots: DataFrame, paths: bool = True, max_hops: int
     frontier = materialise(roots.select("root", "node", start.alias("path")).distinct())
     seen = frontier.select("root", "node")
     found = frontier.select("root", "node", F.lit(0).alias("hop"), "path").limit(0)
-    links = edges.select("src", "dst").distinct()
+    links = materialise(edges.select("src", "dst").distinct())  # read on every level
     while max_hops is None or hop < max_hops:
         hop += 1
         step = frontier.join(links, F.col("node") == F.col("src"))
