@@ -18,6 +18,20 @@ SOURCE_STYLE = "    classDef source fill:#d4edda,stroke:#28a745,color:#155724"
 DERIVED_STYLE = "    classDef derived fill:#cce5ff,stroke:#004085,color:#004085"
 
 
+#: Nodes, and edges, that a page is put together for at most; larger graphs are for ``mermaid_lines`` or ``graph.as_json``.
+MOST = 20_000
+#: Colours of the systems in the drawing.
+COLOURS = {"sql": "#3b7dd8", "spark": "#d9822b", "dbt": "#b5483a", "airflow": "#2e8b57", "cross": "#8e44ad"}
+
+
+def page_rows(df: DataFrame, most: int, *order) -> list:
+    """The rows of a page, in order. A relation of more than ``most`` is an error rather than a page without the rest."""
+    rows = (df.orderBy(*order) if order else df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one page; write mermaid_lines or as_json, or raise the bound")
+    return rows
+
+
 def mermaid_id(name: Column) -> Column:
     return F.translate(name, ".- ", "___")
 
@@ -36,9 +50,9 @@ def mermaid_lines(nodes: DataFrame, edges: DataFrame, direction: str = "LR") ->
     return fixed.unionByName(shapes).unionByName(arrows).unionByName(classes)
 
 
-def mermaid(nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> str:
+def mermaid(nodes: DataFrame, edges: DataFrame, direction: str = "LR", most: int = 4 * MOST) -> str:
     """The flowchart as one string, for graphs that a page can show."""
-    return "\n".join(r["line"] for r in mermaid_lines(nodes, edges, direction).orderBy("part", "seq", "line").toLocalIterator())
+    return "\n".join(r["line"] for r in page_rows(mermaid_lines(nodes, edges, direction), most, "part", "seq", "line"))
 
 
 def inventory(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,10 +77,11 @@ def _page(title: str, *parts: str) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{''.join(parts)}</body></html>"
 
 
-def html_report(nodes: DataFrame, edges: DataFrame, title: str = "Data lineage report") -> str:
+def html_report(nodes: DataFrame, edges: DataFrame, title: str = "Data lineage report", most: int = MOST) -> str:
     """Counts, tables with the size of their closures, edges with their first mappings, and the flowchart; escaped."""
-    tables = inventory(nodes, edges).orderBy("seq").collect()
-    links = edges.select("src", "dst", "transformation_type", "pipeline_name", mapping_preview(F.col("column_mappings")).alias("m"), "seq").orderBy("seq").collect()
+    links = page_rows(edges.select("src", "dst", "transformation_type", "pipeline_name", mapping_preview(F.col("column_mappings")).alias("m"), "seq"), most, "seq")
+    page_rows(nodes.select("node"), most)  # before any closure is worked out
+    tables = page_rows(inventory(nodes, edges), most, "seq")
     n_source = sum(t["is_source"] for t in tables)
     chips = "".join(f"<span class='chip'><b>{v}</b> {k}</span>" for k, v in (("tables", len(tables)), ("edges", len(links)), ("sources", n_source), ("derived", len(tables) - n_source)))
     return _page(
@@ -83,20 +98,88 @@ def stats_chips(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return coverage(nodes).withColumnRenamed("system", "name").unionByName(cross)
 
 
-def unified_html(nodes: DataFrame, edges: DataFrame, system: str | None = None, title: str = "Cross-system lineage") -> str:
-    """A page with the nodes and edges of all systems or one; node data and code travel as JSON for its script."""
+def _columns_of(nodes: list[str], links: list[tuple[str, str]]) -> dict[str, int]:
+    """The column of each node in the drawing: the longest way from a start; nodes on a cycle share the last ones."""
+    into = dict.fromkeys(nodes, 0)
+    onward: dict[str, list[str]] = {n: [] for n in nodes}
+    for s, d in links:
+        if s in into and d in into and s != d:
+            into[d] += 1
+            onward[s].append(d)
+    column = dict.fromkeys(nodes, 0)
+    ready = [n for n in nodes if not into[n]]
+    for n in ready:
+        for d in onward[n]:
+            column[d] = max(column[d], column[n] + 1)
+            into[d] -= 1
+            if not into[d]:
+                ready.append(d)
+    return column
+
+
+def _drawing(nodes: list[dict], edges: list[dict]) -> str:
+    """The graph as SVG: nodes in columns, a tooltip on each node and edge, cross-system edges dashed and named."""
+    column = _columns_of([n["node"] for n in nodes], [(e["src"], e["dst"]) for e in edges])
+    filled: dict[int, int] = {}
+    at: dict[str, tuple[int, int]] = {}
+    shapes, lines = [], []
+    for n in nodes:
+        c = column[n["node"]]
+        x, y = 20 + 270 * c, 20 + 44 * filled.get(c, 0)
+        filled[c] = filled.get(c, 0) + 1
+        at[n["node"]] = x, y
+        tip = "\n".join([n["full"], f"System: {n['system']}", f"Type: {n['node_type']}", *(f"{k}: {n[v]}" for k, v in (("Table", "table"), ("Format", "format")) if n[v])])
+        shapes.append(
+            f"<g class='node' tabindex='0' data-id='{html.escape(n['node'])}'><title>{html.escape(tip)}</title><rect x='{x}' y='{y}' width='210' height='30' rx='5' fill='{COLOURS.get(n['system'], '#999')}'/>"
+            f"<text x='{x + 8}' y='{y + 20}'>{html.escape(n['label'])}</text></g>"
+        )
+    for e in edges:
+        if e["src"] in at and e["dst"] in at:
+            (x1, y1), (x2, y2) = at[e["src"]], at[e["dst"]]
+            cross = e["system"] == "cross"
+            style = "stroke-dasharray='6 4' stroke-width='2'" if cross else "stroke-width='1'"
+            tip = html.escape(f"System: {e['system']}\nTransform: {e['transformation_type'] or ''}")
+            lines.append(f"<path d='M{x1 + 210} {y1 + 15} C{x1 + 240} {y1 + 15} {x2 - 30} {y2 + 15} {x2} {y2 + 15}' fill='none' stroke='{COLOURS.get(e['system'], '#999')}' {style} marker-end='url(#arrow)'><title>{tip}</title></path>")
+            if cross:
+                lines.append(f"<text class='edge' x='{(x1 + 210 + x2) // 2}' y='{(y1 + y2) // 2 + 10}'>{html.escape(e['transformation_type'] or '')}</text>")
+    width, height = 270 * (max(filled, default=0) + 1), 44 * max(filled.values(), default=1) + 30
+    arrow = "<defs><marker id='arrow' viewBox='0 0 8 8' refX='8' refY='4' markerWidth='7' markerHeight='7' orient='auto'><path d='M0 0L8 4L0 8z'/></marker></defs>"
+    return f"<svg id='graph' width='{width}' height='{height}' font-size='12'>{arrow}{''.join(lines)}{''.join(shapes)}</svg>"
+
+
+#: Shows the facts, the neighbours and the code of a node that is picked in the drawing.
+_SIDEBAR = """
+const d=JSON.parse(document.getElementById('lineage-data').textContent),by=new Map(d.nodes.map(n=>[n.node,n])),box=document.getElementById('sidebar');
+function line(t,v){const p=document.createElement('p'),b=document.createElement('b');b.textContent=t+': ';p.append(b,v||'none');box.append(p)}
+function show(id){const n=by.get(id);box.replaceChildren();line('Node',n.label);line('System',n.system);line('Type',n.node_type);
+line('From',d.edges.filter(e=>e.dst===id).map(e=>e.src).join(', '));line('To',d.edges.filter(e=>e.src===id).map(e=>e.dst).join(', '));
+const c=document.createElement('pre');c.textContent=n.code||'';box.append(c)}
+document.querySelectorAll('g.node').forEach(g=>{g.onclick=g.onfocus=()=>show(g.dataset.id)});
+"""
+
+
+def unified_html(nodes: DataFrame, edges: DataFrame, system: str | list[str] | None = None, title: str = "Cross-system lineage", hide_intermediate: bool = False, most: int = MOST) -> str:
+    """A page with the nodes and edges of all systems or some: a drawing with tooltips, a sidebar for the node picked in it, and
+    the same as tables for readers without scripts. ``hide_intermediate`` leaves out nodes of that type."""
     if system:
-        nodes = nodes.where(F.col("system") == system)
+        nodes = nodes.where(F.col("system").isin([system] if isinstance(system, str) else system))
+    if hide_intermediate:
+        nodes = nodes.where(F.col("node_type") != "intermediate")
+    if system or hide_intermediate:
         ids = nodes.select(F.col("node").alias("id"))
         edges = edges.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
-    n = nodes.select("node", F.when(F.length("label") > 30, F.concat(F.substring("label", 1, 27), F.lit("..."))).otherwise(F.col("label")).alias("label"), "system", "node_type", F.substring(F.col("metadata")["raw_sql"], 1, 3000).alias("code"), "seq").orderBy("seq").collect()
-    e = edges.select("src", "dst", "system", "transformation_type", "shared_path", "seq").orderBy("seq").collect()
+    label = F.when(F.length("label") > 30, F.concat(F.substring("label", 1, 27), F.lit("..."))).otherwise(F.col("label"))
+    about = lambda k: F.try_element_at("metadata", F.lit(k))
+    shown = nodes.select("node", label.alias("label"), F.col("label").alias("full"), "system", "node_type", about("warehouse_table").alias("table"), about("format").alias("format"), F.substring(about("raw_sql"), 1, 3000).alias("code"), "seq")
+    n = [r.asDict() for r in page_rows(shown, most, "seq")]
+    e = [r.asDict() for r in page_rows(edges.select("src", "dst", "system", "transformation_type", "shared_path", "seq"), most, "seq")]
     chips = "".join(f"<span class='chip'><b>{r['n']}</b> {html.escape(r['name'])}</span>" for r in stats_chips(nodes, edges).orderBy("name").collect())
     data = json.dumps({"nodes": [{k: r[k] for k in ("node", "label", "system", "node_type", "code")} for r in n], "edges": [{k: r[k] for k in ("src", "dst", "system")} for r in e]}).replace("<", "\\u003c")
     return _page(
-        title, f"<p>{chips}</p>", "<h2>Nodes</h2>", _table(["Id", "Label", "System", "Type"], [(r["node"], r["label"], r["system"], r["node_type"]) for r in n]),
+        title, f"<p>{chips}</p>", f"<div style='display:flex;gap:1em'><div style='overflow:auto;flex:3'>{_drawing(n, e)}</div><aside id='sidebar' style='flex:1'>Pick a node.</aside></div>",
+        "<h2>Nodes</h2>", _table(["Id", "Label", "System", "Type"], [(r["node"], r["label"], r["system"], r["node_type"]) for r in n]),
         "<h2>Edges</h2>", _table(["Source", "Target", "System", "Kind", "Shared path"], [(r["src"], r["dst"], r["system"], r["transformation_type"], r["shared_path"]) for r in e]),
-        f"<script type='application/json' id='lineage-data'>{data}</script>",
+        f"<script type='application/json' id='lineage-data'>{data}</script><script>{_SIDEBAR}</script>",
     )
 
 
@@ -123,8 +206,8 @@ def default_target(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "seq", F.contains(F.lower("node"), F.lit("source")).alias("s")).orderBy(F.desc("s"), "seq").limit(1).select("node")
 
 
-def console_report(nodes: DataFrame, edges: DataFrame, impact: DataFrame) -> str:
+def console_report(nodes: DataFrame, edges: DataFrame, impact: DataFrame, most: int = MOST) -> str:
     """Edges and the impact listing as lines of text."""
-    lines = [f"{r['src']} -> {r['dst']} [{r['transformation_type']}]" for r in edges.orderBy("seq").collect()]
-    lines += [f"hop {r['hop']}: {r['node']} ({' -> '.join(r['path'])})" for r in impact.orderBy("hop", "node").collect()]
+    lines = [f"{r['src']} -> {r['dst']} [{r['transformation_type']}]" for r in page_rows(edges, most, "seq")]
+    lines += [f"hop {r['hop']}: {r['node']} ({' -> '.join(r['path'])})" for r in page_rows(impact, most, "hop", "node")]
     return "\n".join(lines)

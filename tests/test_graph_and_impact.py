@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from headwater.operators import graph, impact, merge, report, store
 from headwater.operators.dbt_extract import parse_dbt_models
@@ -87,6 +88,22 @@ def test_merge(spark):
     assert "lineage-data" in page and "DbtModel" in page and "<b>3</b> cross" in page
 
 
+def test_interactive_page(spark):
+    u = merge.with_cross_edges(unified(spark))
+    page = report.unified_html(u.nodes, u.edges)
+    assert page.count("<g class='node'") == 11 and page.count("<path d='M") == 10 + 1 and page.count("stroke-dasharray") == 3 and "id='sidebar'" in page
+    assert "System: dbt\nType: DbtModel" in page
+    n = u.nodes.withColumn("label", F.concat(F.lit("<i>'\"&"), "label", F.lit("x" * 40))).withColumn("node_type", F.when(F.col("system") == "sql", "intermediate").otherwise(F.col("node_type")))
+    odd = report.unified_html(n, u.edges, system=["sql", "dbt"], hide_intermediate=True)
+    assert odd.count("<g class='node'") == 3 and "<i>" not in odd and "..." in odd
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        report.unified_html(u.nodes, u.edges, most=5)
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        report.console_report(u.nodes, u.edges, spark.createDataFrame([], "hop int, node string, path array<string>"), most=1)
+    cycle = report._columns_of(["a", "b", "c", "d"], [("a", "b"), ("b", "c"), ("c", "b"), ("a", "a"), ("d", "x")])
+    assert cycle == {"a": 0, "b": 1, "c": 0, "d": 0}
+
+
 def impact_graph(spark, nodes, edges):
     n = spark.createDataFrame([(x, x, s, "T", {}, [i]) for i, (x, s) in enumerate(nodes)], merge.NODE_SCHEMA)
     e = spark.createDataFrame([(a, b, "x", "", [(t, s) for t, s in m], None, None, [i]) for i, (a, b, m) in enumerate(edges)], merge.EDGE_SCHEMA)
