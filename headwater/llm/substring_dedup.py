@@ -6,7 +6,7 @@ of one anchor. Level by level:
 
 1. Anchors of the windows that are open (at first all); those of two documents or more go on.
 2. The segments of these anchors, each different one once, with the least and the greatest doc_id it occurs in. An
-   anchor's leader is its least doc_id.
+   anchor's leader is its least doc_id. Where an anchor has one content, all its holders copy the leader.
 3. Shards, by anchor: the leaders' segments are put into an FM-index, and all segments that no leader holds stream
    through its backward search. Where the matching statistics reach ``WINDOW``, the leader has the window, and the
    stretch is reported. Where they don't, the window stays open. Segments of a frequent anchor are dealt out in chunks,
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batch, cut, partitions, stored, text_bytes
+from ._common import batch, bucketed, cut, partitions, stored, text_bytes
 from ._hashes import WordHashes, mix, roll, sliding_min
 from .fm_index import FMIndex
 
@@ -101,8 +101,8 @@ def _covered(n: int, runs) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string())])
-_SCANNED_DDL = "doc_id long, anchor long, n_words long, sha256 string"
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string())])
+_SCANNED_DDL = "doc_id long, row long, anchor long, n_words long, sha256 string"
 _SEGMENT = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("digest", pa.binary()), ("content", pa.binary()), ("row", pa.int64())])
 _SEGMENT_DDL = "anchor long, doc_id long, first int, windows int, digest binary, content binary, row long"
 _FOUND = pa.schema([("digest", pa.binary()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("gone", pa.list_(pa.bool_())), ("source", pa.int64())])
@@ -114,23 +114,23 @@ def _pairs(runs) -> list | None:
 
 
 def _scan(gram: int, summaries: bool):
-    """Rows (doc_id, anchor) for the segments and, with ``summaries``, (doc_id, n_words, sha256) for each row. A third
-    column tells the open runs of windows; without it all are open."""
+    """Rows (doc_id, row, anchor) for the segments and, with ``summaries``, (doc_id, row, n_words, sha256) for each row, from
+    (doc_id, text, row). A fourth column tells the open runs of windows; without it all are open."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            told = b.column(2).to_pylist() if b.num_columns > 2 else None
+            ids, texts, rows = (b.column(i).to_pylist() for i in range(3))
+            told = b.column(3).to_pylist() if b.num_columns > 3 else None
             for numbers, docs in _groups(texts, ids):
                 owner, _, _, anchor = segments(docs, hashes, gram, open_runs=told and [_pairs(told[i]) for i in numbers])
-                of = np.array([ids[i] or 0 for i in numbers], np.int64)
+                of, row = np.array([ids[i] or 0 for i in numbers], np.int64), np.array([rows[i] for i in numbers], np.int64)
                 none = [None] * len(anchor)
-                yield batch(_SCANNED, of[owner], anchor, none, none)
+                yield batch(_SCANNED, of[owner], row[owner], anchor, none, none)
                 if summaries:
                     words = [w if ids[i] is not None else texts[i].split() for i, w in zip(numbers, docs)]
                     none = [None] * len(words)
-                    yield batch(_SCANNED, [ids[i] for i in numbers], none, [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words])
+                    yield batch(_SCANNED, [ids[i] for i in numbers], row, none, [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words])
 
     return run
 
@@ -198,10 +198,12 @@ def search_block(indexed: list[tuple[int, list[bytes]]], streamed: list[tuple[in
 
 
 def _shard(block: int):
-    """Over rows (anchor, chunk, digest, content, leads, streams, source) sorted by the first two; a chunk stays together."""
+    """Over rows (anchor, chunk, digest, content, leads, streams, source) sorted by anchor and chunk, leaders first; a
+    chunk stays together."""
 
     def run(batches):
         indexed, streamed, names, same, words, key = [], [], [], [], 0, None
+        own: list[bytes] = []  # texts of the open chunk's leader; they are indexed if something is to be looked up in them
 
         def done():
             rows = [(digest, [0], [n], [True], source) for digest, n, source in same]
@@ -214,20 +216,25 @@ def _shard(block: int):
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(7))):
                 anchor, chunk, digest, content, leads, streams, source = row
-                if words >= block and key != (anchor, chunk):
-                    if (out := done()) is not None:
-                        yield out
-                    indexed, streamed, names, same, words = [], [], [], [], 0
-                key = (anchor, chunk)
-                w = content.split(b" ")
-                words += len(w)
-                if leads:
-                    indexed.append((anchor, w))
-                if leads and streams:  # others hold the very text that is indexed
-                    same.append((digest, len(w) - WINDOW + 1, source))
-                elif streams:
-                    streamed.append((anchor, w))
+                if key != (anchor, chunk):
+                    key, own = (anchor, chunk), []
+                    if words >= block:
+                        if (out := done()) is not None:
+                            yield out
+                        indexed, streamed, names, same, words = [], [], [], [], 0
+                if leads:  # they come first
+                    own.append(content)
+                    if streams:  # others hold the very text
+                        same.append((digest, content.count(b" ") + 2 - WINDOW, source))
+                else:
+                    texts = [content.split(b" ")]
+                    streamed.append((anchor, texts[0]))
                     names.append((digest, source))
+                    if own:
+                        texts += (leader := [x.split(b" ") for x in own])
+                        indexed += ((anchor, x) for x in leader)
+                        own = []
+                    words += sum(map(len, texts))
         if (out := done()) is not None:
             yield out
 
@@ -239,37 +246,38 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def wanted_anchors(scanned: DataFrame) -> DataFrame:
-    """(doc_id, wanted): each document's anchors that another document has too."""
-    anchors = scanned.where("anchor is not null").select("doc_id", "anchor")
+    """(doc_id, row, wanted): each text's anchors that another document has too."""
+    anchors = scanned.where("anchor is not null").select("doc_id", "row", "anchor")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    return cut(anchors.join(shared.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")))
+    return cut(anchors.join(shared.select("anchor"), "anchor", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("wanted")))
 
 
 def _routes(parts: DataFrame) -> DataFrame:
-    """(digest, anchor, source, leads, streams, home, chunks) of each content. Rows of an anchor with several chunks meet
+    """(digest, anchor, source, leads, streams, home, chunks, alone, windows) of each content; ``alone``: its anchor has no
+    other. Rows of an anchor with several chunks meet
     its figures in ``PARTS`` parts; no text moves."""
-    keys = parts.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    keys = parts.groupBy("digest").agg(F.first("anchor").alias("anchor"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
     keys = cut(keys.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int")))
     # two steps: the parts of an anchor, then the anchor
     figures = keys.groupBy("anchor", "part").agg(F.min("first").alias("source"), F.count("*").alias("n"))
-    figures = figures.groupBy("anchor").agg(F.min("source").alias("source"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), F.collect_list("part").alias("parts"))
-    told = keys.join(figures.select("anchor", "source", "chunks", F.explode("parts").alias("part")), ["anchor", "part"])
+    figures = figures.groupBy("anchor").agg(F.min("source").alias("source"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), (F.sum("n") == 1).alias("alone"), F.collect_list("part").alias("parts"))
+    told = keys.join(figures.select("anchor", "source", "chunks", "alone", F.explode("parts").alias("part")), ["anchor", "part"])
     return told.select(
-        "digest", "anchor", "source", "chunks",
+        "digest", "anchor", "source", "chunks", "alone", "windows",
         (F.col("first") == F.col("source")).alias("leads"),
         (F.col("last") > F.col("source")).alias("streams"),
         F.pmod(F.xxhash64("digest", F.lit(1)), "chunks").cast("int").alias("home"),
     )
 
 
-def _sharded(parts: DataFrame) -> DataFrame:
+def _sharded(parts: DataFrame, routes: DataFrame) -> DataFrame:
     """(anchor, chunk, digest, content, leads, streams, source): the rows of the shards, by anchor and chunk. A leader's
     text goes to all chunks of its anchor; its other holders are told in one of them."""
     text = parts.where("content is not null").groupBy("digest").agg(F.first("content").alias("content"))
     copies = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))
-    rows = text.join(_routes(parts), "digest").select("*", F.explode(copies).alias("chunk")).withColumn("streams", F.col("streams") & (F.col("home") == F.col("chunk")))
+    rows = text.join(routes, "digest").select("*", F.explode(copies).alias("chunk")).withColumn("streams", F.col("streams") & (F.col("home") == F.col("chunk")))
     rows = rows.select("anchor", "chunk", "digest", "content", "leads", "streams", "source")
-    return rows.repartition(partitions(parts.sparkSession), "anchor", "chunk").sortWithinPartitions("anchor", "chunk")
+    return rows.repartition(partitions(parts.sparkSession), "anchor", "chunk").sortWithinPartitions("anchor", "chunk", F.desc("leads"))
 
 
 def one_level(held: DataFrame, gram: int) -> DataFrame:
@@ -278,7 +286,10 @@ def one_level(held: DataFrame, gram: int) -> DataFrame:
     rest = ["runs"] if "runs" in held.columns else []
     parts = stored(held.select("doc_id", "text", "wanted", "row", *rest).mapInArrow(_candidates(gram), _SEGMENT_DDL))
     # repeated rows of a document give the same segments, which changes nothing
-    found = _sharded(parts).mapInArrow(_shard(BLOCK), _FOUND_DDL)
+    routes = cut(_routes(parts))
+    found = _sharded(parts, routes.where("not alone")).mapInArrow(_shard(BLOCK), _FOUND_DDL)
+    copied = routes.where("alone and streams").select("digest", F.array(F.lit(0)).alias("at"), F.array("windows").alias("n"), F.array(F.lit(True)).alias("gone"), "source")
+    found = found.unionByName(copied)
     places = parts.select("digest", "doc_id", "row", F.col("first").alias("at0"))
     hits = places.join(found, "digest").where("doc_id > source").select("doc_id", "row", "at0", F.explode(F.arrays_zip("at", "n", "gone")).alias("r"))
     return stored(hits.select("doc_id", "row", (F.col("at0") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"), F.col("r.gone").alias("gone")))
@@ -290,13 +301,14 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def repeated_windows(held: DataFrame) -> DataFrame:
     """(doc_id, row, runs array<struct<first, n>>): runs of windows that go, for rows that lose some. ``held``: the
-    documents that have anchors of the first level in common with others (doc_id, text as bytes, row, wanted). ``row`` is a
-    hash of the text: rows of one doc_id that differ in text each have their own runs."""
+    documents that have anchors of the first level in common with others (doc_id, text as bytes, row, wanted), in buckets of
+    doc_id and row, so that texts don't move again. ``row`` is a hash of the text: rows of one doc_id that differ in text
+    each have their own runs."""
     gone = None
     for k, gram in enumerate(LEVELS):
         if k:  # what is still open, with the anchors that it shares on this level
-            left = stored(held.select("doc_id", "text", "row").join(_runs(level.where("not gone")), ["doc_id", "row"]))
-            now = left.join(wanted_anchors(cut(left.select("doc_id", "text", "runs").mapInArrow(_scan(gram, False), _SCANNED_DDL))), "doc_id")
+            left = held.select("doc_id", "text", "row").join(cut(_runs(level.where("not gone"))), ["doc_id", "row"])
+            now = left.join(wanted_anchors(cut(left.select("doc_id", "text", "row", "runs").mapInArrow(_scan(gram, False), _SCANNED_DDL))), ["doc_id", "row"])
         else:
             now = held
         level = one_level(now, gram)
@@ -333,12 +345,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             yield batch(schema, *(zip(*rows) if rows else [[]] * 4))
 
     base = _base(docs)
-    scanned = cut(base.select("doc_id", "text").mapInArrow(_scan(LEVELS[0], True), _SCANNED_DDL))
+    scanned = cut(base.select("doc_id", "text", "row").mapInArrow(_scan(LEVELS[0], True), _SCANNED_DDL))
     wanted = wanted_anchors(scanned)
-    # only documents that share an anchor are shuffled; of the others the scan has told all
-    held = stored(base.join(wanted, "doc_id"))
+    # of documents that share no anchor the scan has told all
+    held = bucketed(base.join(wanted, ["doc_id", "row"]), "doc_id", "row")
     cut_texts = held.select("doc_id", "row", "text").join(repeated_windows(held), ["doc_id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    whole = scanned.where("anchor is null").join(wanted.select("doc_id"), "doc_id", "left_anti")
+    whole = scanned.where("anchor is null").join(wanted.select("doc_id", "row"), ["doc_id", "row"], "left_anti")
     return whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")).unionByName(cut_texts)
 
 
@@ -346,7 +358,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages: texts that lose words become their kept words joined by one
     space (``n_chars``, if there, follows); all others stay as they are."""
     base = _base(docs)
-    held = base.join(wanted_anchors(cut(base.select("doc_id", "text").mapInArrow(_scan(LEVELS[0], False), _SCANNED_DDL))), "doc_id")
+    wanted = wanted_anchors(cut(base.select("doc_id", "text", "row").mapInArrow(_scan(LEVELS[0], False), _SCANNED_DDL)))
+    held = bucketed(base.join(wanted, ["doc_id", "row"]), "doc_id", "row")
     runs = repeated_windows(held).select(F.col("doc_id").alias("__hw_id"), F.col("row").alias("__hw_row"), F.col("runs").alias("__hw_runs"))
     joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("__hw_id")) & (F.xxhash64(text_bytes()) == F.col("__hw_row")), "left").drop("__hw_id", "__hw_row")
     names = docs.columns

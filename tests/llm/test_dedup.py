@@ -178,8 +178,8 @@ def test_windows_that_the_leader_lacks_stay_open(spark):
     """The index decides: the anchor of the first level is shared, its leader lacks the window, a later level finds it."""
     a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
     held = docs_of(spark, [" ".join(x) for x in (a, b, a[:55] + b, a[:52] + ["x"] * 3)]).select("doc_id", substring_dedup.text_bytes().alias("text")).selectExpr("*", "xxhash64(text) AS row")
-    scanned = held.select("doc_id", "text").mapInArrow(substring_dedup._scan(8, False), substring_dedup._SCANNED_DDL)
-    level = substring_dedup.one_level(held.join(substring_dedup.wanted_anchors(scanned), "doc_id"), 8).collect()
+    scanned = held.select("doc_id", "text", "row").mapInArrow(substring_dedup._scan(8, False), substring_dedup._SCANNED_DDL)
+    level = substring_dedup.one_level(held.join(substring_dedup.wanted_anchors(scanned), ["doc_id", "row"]), 8).collect()
     assert {r.doc_id for r in level if r.gone} == {2, 3} and any(not r.gone for r in level)
 
 
