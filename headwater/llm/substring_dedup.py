@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import batch, bucketed, cut, partitions, stored, text_bytes
-from ._hashes import WordHashes, mix, roll, sliding_min
+from ._hashes import mix, roll, sliding_min, text_word_hashes
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -49,14 +49,14 @@ CHUNK = 256
 PARTS = 64
 
 
-def segments(docs: list[list[bytes]], hashes: WordHashes, gram: int, window: int = WINDOW, open_runs: list | None = None) -> tuple[np.ndarray, ...]:
+def segments(docs: list[list[bytes]], gram: int, window: int = WINDOW, open_runs: list | None = None) -> tuple[np.ndarray, ...]:
     """(document number, first word, windows, anchor) of the segments of some documents; ``open_runs``: for each document
     the runs of windows that count, as (first, n)."""
     long = [i for i, w in enumerate(docs) if len(w) >= window]
     if not long:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),)
     size = np.array([len(docs[i]) for i in long], np.int64)
-    h = np.concatenate([hashes.of(docs[i]) for i in long])
+    h = text_word_hashes(b"\n".join(b" ".join(docs[i]) for i in long))
     least = sliding_min(mix(roll(h, gram)), window - gram + 1)
     ends = np.cumsum(size)
     start = ends - size
@@ -118,12 +118,11 @@ def _scan(gram: int, summaries: bool):
     (doc_id, text, row). A fourth column tells the open runs of windows; without it all are open."""
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             ids, texts, rows = (b.column(i).to_pylist() for i in range(3))
             told = b.column(3).to_pylist() if b.num_columns > 3 else None
             for numbers, docs in _groups(texts, ids):
-                owner, _, _, anchor = segments(docs, hashes, gram, open_runs=told and [_pairs(told[i]) for i in numbers])
+                owner, _, _, anchor = segments(docs, gram, open_runs=told and [_pairs(told[i]) for i in numbers])
                 of, row = np.array([ids[i] or 0 for i in numbers], np.int64), np.array([rows[i] for i in numbers], np.int64)
                 none = [None] * len(anchor)
                 yield batch(_SCANNED, of[owner], row[owner], anchor, none, none)
@@ -139,13 +138,13 @@ def _candidates(gram: int):
     """Segments of the documents' anchors that others have; a content goes out once from each task."""
 
     def run(batches):
-        hashes, sent = WordHashes(), set()
+        sent: set[bytes] = set()
         for b in batches:
             ids, texts, wanted, rows = (b.column(i) for i in range(4))
             ids, texts, rows = ids.to_pylist(), texts.to_pylist(), rows.to_pylist()
             told = b.column(4).to_pylist() if b.num_columns > 4 else None
             for numbers, docs in _groups(texts, ids):
-                owner, first, windows, anchor = segments(docs, hashes, gram, open_runs=told and [_pairs(told[i]) for i in numbers])
+                owner, first, windows, anchor = segments(docs, gram, open_runs=told and [_pairs(told[i]) for i in numbers])
                 out = []
                 cuts = np.searchsorted(owner, np.arange(len(numbers) + 1))
                 for j, i in enumerate(numbers):

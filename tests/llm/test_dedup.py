@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from headwater.llm import exact_dedup, fm_index, ngram_join, substring_dedup
+from headwater.llm import _hashes, exact_dedup, fm_index, ngram_join, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -183,6 +183,20 @@ def test_windows_that_the_leader_lacks_stay_open(spark):
     assert {r.doc_id for r in level if r.gone} == {2, 3} and any(not r.gone for r in level)
 
 
+def test_word_hashes_follow_the_words(monkeypatch):
+    rng = random.Random(9)
+    words = [bytes(rng.choice([65, 66, 200, 255, 1]) for _ in range(rng.randrange(1, 12))) for _ in range(3000)] + [b"x" * 5000]
+    rng.shuffle(words)
+    seen = {}
+    for piece in (1 << 21, 64, 1):
+        monkeypatch.setattr(_hashes, "_PIECE", piece)
+        h = _hashes.text_word_hashes(b"".join(w + rng.choice([b" ", b"\n"]) for w in words)[:-1]).tolist()
+        assert len(h) == len(words)
+        for w, x in zip(words, h):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen) and len(_hashes.text_word_hashes(b"")) == 0
+
+
 def brute_statistics(texts, query):
     """Longest match at each position, by comparing with every place of every text."""
     out = []
