@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from headwater.plans.stages import spread
 
 from . import bpe, chat_threads, exact_dedup, html_extract, license_scan, ngram_join, packing, quality, substring_dedup, url_filter
+from ._common import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +94,8 @@ def with_quotes(messages: DataFrame) -> DataFrame:
 
 
 def op9_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    threads = chat_threads.quotation_threads(with_quotes(_table(spark, sf_dir, "conversations")))
+    messages = stored(with_quotes(_table(spark, sf_dir, "conversations")))  # read several times
+    threads = chat_threads.quotation_threads(messages)
     return threads.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))  # -1: a root
 
 
