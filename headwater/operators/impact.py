@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.plans.closure import first_by
-from headwater.plans.stages import materialise
+from headwater.plans.stages import keyed, kept, parts
 
 # Fixed values of the model: hours by system and factors by severity.
 BASE_HOURS = {"sql": "1.0", "spark": "2.5", "dbt": "0.5", "airflow": "1.5"}
 OTHER_HOURS = "1.0"
 FACTORS = {"BREAKING": "1.0", "WARNING": "0.4", "OK": "0.0"}
 SEVERITIES = ("BREAKING", "WARNING", "OK")
+#: Impacted nodes of one line of JSON.
+PIECE = 1000
 
 CHANGE_SCHEMA = "change_id string, node string, column_name string, change_type string"
 IMPACT_SCHEMA = (
@@ -76,23 +79,25 @@ def simulate(nodes: DataFrame, edges: DataFrame, change: DataFrame) -> DataFrame
     Each level joins the frontier with the edges. A node is entered through the edge that comes first by (order in which
     its source was found, edge order); both are carried as an array of edge places, so no global numbering is needed.
     What is classified OK is reported but not followed, nor looked at again."""
-    known = nodes.select("node").distinct()
-    links = materialise(edges.select("src", "dst", "column_mappings", F.col("seq").alias("place")))
-    facts = nodes.select("node", "label", "system", "node_type")
+    links = edges.select("src", "dst", "column_mappings", F.col("seq").alias("place"))
+    n = parts(edges.select("src"), nodes.select("node"))
+    links = keyed(links, "src", n)
+    facts = keyed(nodes.select("node", "label", "system", "node_type"), "node", n)
     none = F.array().cast("array<array<bigint>>")
-    start = change.join(known, "node", "left_semi")
-    frontier = materialise(start.select("change_id", "node", "column_name", "change_type", F.array("node").alias("path"), none.alias("key")))
+    start = change.select("change_id", "node", "column_name", "change_type", F.array("node").alias("path"), none.alias("key")).repartition(n, "node")
+    frontier = kept(start.join(facts.select("node"), "node", "left_semi"))
     seen = frontier.select("change_id", "node")
     found, hop = None, 0
     while not frontier.isEmpty():
         hop += 1
-        step = frontier.withColumnRenamed("node", "src").join(links, "src").withColumnRenamed("dst", "node").join(seen, ["change_id", "node"], "left_anti")
+        # the frontier lies where the links that leave it do; what they lead to is shuffled once, to where it was seen and described
+        step = links.join(frontier.withColumnRenamed("node", "src"), "src").drop("src").withColumnRenamed("dst", "node").repartition(n, "node").join(seen, ["change_id", "node"], "left_anti")
         one = first_by(step, ["change_id", "node"], "key", "place").withColumn("hop_distance", F.lit(hop))
         level = classified(one).join(facts, "node", "left").select(
             "change_id", "node", "label", "system", "node_type", "severity", "hop_distance", F.concat("path", F.array("node")).alias("path_from_source"), "reason",
             fix_hours(F.col("system"), F.col("severity"), F.col("hop_distance")).alias("fix_hours"), F.concat("key", F.array("place")).alias("discovery"), "column_name", "change_type",
         )
-        level = materialise(level)
+        level = kept(level)
         report = level.drop("column_name", "change_type")
         found = report if found is None else found.unionByName(report)
         seen = seen.unionByName(level.select("change_id", "node"))
@@ -141,11 +146,26 @@ def summary(change: DataFrame, impacted: DataFrame) -> DataFrame:
 
 
 def as_json(change: DataFrame, impacted: DataFrame) -> DataFrame:
-    """(change_id, json): header figures with the impacted nodes in order."""
-    item = F.struct("hop_distance", severity_rank(F.col("severity")).alias("r"), "discovery", F.struct("node", "label", "system", "node_type", "severity", "hop_distance", "path_from_source", "reason", "fix_hours").alias("item"))
-    nodes = impacted.groupBy("change_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.item).alias("impacted_nodes"))
+    """(change_id, part, json): JSON lines, since a change may reach more nodes than one text can hold. Part 0 of a change
+    has its figures, the parts above it, in their order, up to PIECE impacted nodes each."""
     t = totals(change, impacted)
-    return t.join(nodes, "change_id", "left").select("change_id", F.to_json(F.struct(*(c for c in t.columns if c != "change_id"), "impacted_nodes")).alias("json"))
+    head = t.select("change_id", F.lit(0).cast("bigint").alias("part"), F.to_json(F.struct(*(c for c in t.columns if c != "change_id"))).alias("json"))
+    order = ("change_id", "hop_distance", severity_rank(F.col("severity")), "discovery")
+    lines = impacted.repartitionByRange(parts(impacted), *order).sortWithinPartitions(*order)
+    item = F.to_json(F.struct("node", "label", "system", "node_type", "severity", "hop_distance", "path_from_source", "reason", "fix_hours"))
+    return head.unionByName(lines.select("change_id", (F.monotonically_increasing_id() + 1).alias("part"), item.alias("json")).mapInArrow(_pieces, "change_id string, part bigint, json string"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order, put together by PIECE of one change; a piece has the number of its first row."""
+    for b in batches:
+        ids, numbers, items = (b.column(i).to_pylist() for i in range(3))
+        start = 0
+        for end in range(1, len(ids) + 1):
+            if end == len(ids) or end - start == PIECE or ids[end] != ids[start]:
+                text = '{"impacted_nodes":[' + ",".join(items[start:end]) + "]}"
+                yield pa.RecordBatch.from_arrays([pa.array([ids[start]], pa.string()), pa.array([numbers[start]], pa.int64()), pa.array([text], pa.string())], ["change_id", "part", "json"])
+                start = end
 
 
 def top_risk(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a partition of a relation kept by a key holds, about: so the memory of a task doesn't grow with the relation.
+ROWS = 500_000
+#: Plans that keep a partitioning: no partitions put together at run time, one key of several is enough to part by, and no
+#: broadcast by the sizes that checkpoints guess.
+_KEPT = {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder of the cluster and go on from there: the plan stays short over many
@@ -21,6 +29,36 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def _keeping(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in _KEPT}
+    try:
+        for k, v in _KEPT.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def parts(*relations: DataFrame) -> int:
+    """How many partitions the largest relation is parted into: one for each core, more where they would hold over ROWS."""
+    return max(relations[0].sparkSession.sparkContext.defaultParallelism, *(-(-r.count() // ROWS) for r in relations))
+
+
+def keyed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df``, written to the checkpoint folder in ``n`` partitions by ``key`` and sorted by it there. What is joined or
+    grouped by the key (and more) within ``keyed`` is where it is needed: only what isn't parted alike is shuffled."""
+    with _keeping(df.sparkSession):
+        return materialise(df.repartition(n, key).sortWithinPartitions(key))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, made of relations that are ``keyed`` alike, written with the partitioning that it has."""
+    with _keeping(df.sparkSession):
+        return materialise(df)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a plain scan out to all cores where it has fewer partitions than there are, as a small table in
     one row group has: work on its texts would else stay in one task. Tables of more partitions are left as they are."""

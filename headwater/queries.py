@@ -430,9 +430,10 @@ def blast_summary(spark, sf_dir):
 def blast_json(spark, sf_dir):
     c = _changes(spark)
     lines = impact.as_json(c, impact.simulate(*provenance(spark, sf_dir), c))
-    return lines.selectExpr(
-        "change_id", "get_json_object(json, '$.changed_node') AS changed_node", "CAST(get_json_object(json, '$.total_impacted') AS BIGINT) AS total_impacted",
-        "CAST(get_json_object(json, '$.total_fix_hours') AS DOUBLE) AS total_fix_hours", "CAST(coalesce(json_array_length(get_json_object(json, '$.impacted_nodes')), 0) AS BIGINT) AS listed",
+    said = lambda k: F.max(F.get_json_object("json", f"$.{k}"))
+    listed = F.sum(F.coalesce(F.json_array_length(F.get_json_object("json", "$.impacted_nodes")), F.lit(0)))
+    return lines.groupBy("change_id").agg(
+        said("changed_node").alias("changed_node"), said("total_impacted").cast("bigint").alias("total_impacted"), said("total_fix_hours").cast("double").alias("total_fix_hours"), listed.cast("bigint").alias("listed"),
     )
 
 
