@@ -51,12 +51,14 @@ def graph_of(records: DataFrame, now: str | None = None) -> tuple[DataFrame, Dat
     source = base.select("*", F.posexplode("source_tables").alias("pos", "src"))
     seq = lambda pos: F.array("t", "s", pos.cast("bigint"))
     edges = source.select("src", F.col("target_table").alias("dst"), F.col("column_mappings").cast(MAPPINGS).alias("column_mappings"), "transformation_type", "pipeline_name", seq(F.col("pos")).alias("seq"))
-    named = base.select(F.col("target_table").alias("node"), seq(F.lit(-1)).alias("seq")).unionByName(source.select(F.col("src").alias("node"), seq(F.col("pos")).alias("seq")))
-    fed = edges.select(F.col("dst").alias("node")).distinct().withColumn("fed", F.lit(True))
-    first = named.groupBy("node").agg(F.min("seq").alias("seq")).join(fed, "node", "left")
+    # targets and sources from one reading of the records
+    own = F.struct(F.col("target_table").alias("node"), F.lit(-1).alias("pos"), (F.col("target_table").isNotNull() & (F.size("source_tables") > 0)).alias("fed"))
+    read = F.transform(F.coalesce("source_tables", F.array().cast("array<string>")), lambda x, i: F.struct(x.alias("node"), i.alias("pos"), F.lit(False).alias("fed")))
+    named = base.select("t", "s", F.inline(F.concat(F.array(own), read))).select("node", seq(F.col("pos")).alias("seq"), "fed")
+    first = named.groupBy("node").agg(F.min("seq").alias("seq"), F.bool_or(F.coalesce("fed", F.lit(False))).alias("fed"))
     nodes = first.select(
         "node", F.lit(None).cast("string").alias("schema"), F.lit(None).cast("bigint").alias("row_count_estimate"),
-        (F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("last_updated"), F.col("fed").isNull().alias("is_source"), "seq",
+        (F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("last_updated"), (~F.col("fed")).alias("is_source"), "seq",
     )
     return nodes, upsert_edges(edges)
 

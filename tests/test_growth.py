@@ -2,7 +2,7 @@
 
 import json
 
-from headwater.operators import impact, merge
+from headwater.operators import graph, impact, merge, sql_extract
 
 
 def shuffled(spark) -> int:
@@ -39,3 +39,10 @@ def test_a_blast_shuffles_the_edges_once(spark):
     before = shuffled(spark)
     assert impact.simulate(n, e, impact.changes(spark, [("c0", None, "drop")])).count() == 8
     assert shuffled(spark) - before < 4 * edges
+
+
+def test_a_graph_reads_its_records_once(spark):
+    records = sql_extract.parse_sql(spark, "INSERT INTO a SELECT x FROM b, c; INSERT INTO b SELECT 1 AS x; INSERT INTO a SELECT y FROM d")
+    n, e = graph.graph_of(records, "-")
+    assert {r.node: r.is_source for r in n.collect()} == {"a": False, "b": True, "c": True, "d": True} and e.count() == 3
+    assert n._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
