@@ -59,9 +59,12 @@ def kept(df: DataFrame) -> DataFrame:
         return materialise(df)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Deal the rows of a plain scan out to all cores where it has fewer partitions than there are, as a small table in
-    one row group has: work on its texts would else stay in one task. Tables of more partitions are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    found = df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
-    return df if found is None or found + 1 >= cores else df.repartition(cores)
+    one row group has: work on its texts would else stay in one task. With ``rows``, also where partitions would hold more
+    than so many on average, so that tasks don't grow with the table. Tables of more partitions are left as they are."""
+    found = df.select(F.spark_partition_id().alias("p")).agg(F.max("p").alias("last"), F.count("*").alias("n")).first()
+    least = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        least = max(least, -(-found["n"] // rows))
+    return df if found["last"] is None or found["last"] + 1 >= least else df.repartition(least)

@@ -3,6 +3,7 @@
 import json
 
 from headwater.operators import graph, impact, merge, sql_extract
+from headwater.plans.stages import spread
 
 
 def shuffled(spark) -> int:
@@ -46,3 +47,34 @@ def test_a_graph_reads_its_records_once(spark):
     n, e = graph.graph_of(records, "-")
     assert {r.node: r.is_source for r in n.collect()} == {"a": False, "b": True, "c": True, "d": True} and e.count() == 3
     assert n._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+ODD_TEXTS = [
+    "INSERT INTO t1 SELECT a1.x2, (p3/*9*/4) AS m5, '6%s%%' AS n FROM s7 a1, S7, s77 WHERE k = 1.5",
+    "INSERT INTO t1 SELECT a2.x2, (p3/*9*/4) AS m5, '6%s%%' AS n FROM s7 a1, S1, s07 WHERE k = 1.5",
+    "WITH c1 AS (SELECT 1 AS a FROM r01), c2 (z) AS (SELECT * FROM c1) INSERT INTO o1 SELECT c1.a, c3.b FROM c1 JOIN c3 ON c1.a=c3.b; SELECT 10; CREATE TABLE q10 AS SELECT * FROM o1",
+    "WITH c1 AS (SELECT 1 AS a FROM r01), c2 (z) AS (SELECT * FROM c2) INSERT INTO o1 SELECT c1.a, c3.b FROM c1 JOIN c1 ON c1.a=c1.b; SELECT 11; CREATE TABLE q11 AS SELECT * FROM o2",
+    'INSERT INTO "t1" . "2" SELECT "1".* FROM "x1"."1" "1", `b1`, "1`2", "12"', "INSERT INTO `t1`.`2` SELECT SUM(a1) FROM b1 -- c1\n, t12 /* 3 */", "", "-- 12", "INSERT INTO t1 SELECT ٣1, a FROM b٣1",
+    "INSERT INTO t SELECT " + ", ".join(f"a{i}" for i in range(900)) + " FROM s1",
+]
+
+
+def test_texts_of_one_shape_are_read_once(monkeypatch):
+    for qualified in (False, True):
+        read = sql_extract.reader(True, qualified)
+        for _ in range(2):
+            assert [read(t) for t in ODD_TEXTS] == [sql_extract._read(t, True, qualified) for t in ODD_TEXTS]
+    calls, parse = [], sql_extract.parse_statement
+    monkeypatch.setattr(sql_extract, "parse_statement", lambda *a: calls.append(a) or parse(*a))
+    read = sql_extract.reader()
+    got = [read(f"INSERT INTO t{i} SELECT a{i % 7} AS x FROM s{i // 2}, t{i}") for i in range(100, 1100)]
+    assert len(calls) == 1 and [r[0]["source_tables"] for r in got] == [[f"s{i // 2}"] for i in range(100, 1100)]
+    monkeypatch.setattr(sql_extract, "SHAPES", 3)
+    read = sql_extract.reader()
+    assert [read(f"INSERT INTO t{'x' * (i % 9)}{i} SELECT a FROM s")[0]["target_table"] for i in range(50)] == [f"t{'x' * (i % 9)}{i}" for i in range(50)]
+
+
+def test_tasks_hold_so_many_texts(spark):
+    t = spark.range(0, 10_000, 1, 2)
+    assert spread(t, 500).rdd.getNumPartitions() == 20 and spread(t, 500).distinct().count() == 10_000
+    assert spread(spark.range(0, 10_000, 1, 30), 500).rdd.getNumPartitions() == 30 and spread(t).rdd.getNumPartitions() == 4 and spread(t.limit(0), 500).count() == 0
