@@ -39,8 +39,15 @@ MAPPINGS = f"""CASE b % 5 WHEN 0 THEN array({_PAIR.format('amount', 'price*amoun
   WHEN 2 THEN array({_PAIR.format('id', 'id')}, {_PAIR.format('total', 'SUM(amount)')}) WHEN 3 THEN array({_PAIR.format('id', 'customer_id')}) ELSE array({_PAIR.format('*', 'x')}) END"""
 
 
-def _views(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+#: Rows of a table whose texts one task reads.
+TEXTS = 50_000
+
+
+def _views(spark: SparkSession, sf_dir: str, sql: str, rows: int | None = None) -> DataFrame:
+    """``sql`` over the tables; with ``rows``, their rows are dealt out so that texts made of them lie in many tasks."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in sql}
+    if rows:
+        frames = {t: spread(f, rows) if f"FROM {t}" in sql else f for t, f in frames.items()}
     for t in sorted(frames, key=len, reverse=True):
         for before in ("FROM ", "JOIN "):
             sql = sql.replace(f"{before}{t} ", f"{before}{{{t}}} ").replace(f"{before}{t})", f"{before}{{{t}}})").replace(f"{before}{t}\n", f"{before}{{{t}}}\n")
@@ -95,7 +102,12 @@ FROM orders"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql_extract.extract_sql(spread(_views(spark, sf_dir, _STATEMENTS)))
+    return sql_extract.extract_sql(_views(spark, sf_dir, _STATEMENTS, TEXTS))
+
+
+def _kept_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a graph needs of the records, read once."""
+    return materialise(_records(spark, sf_dir).drop("raw_sql", "cte_names", "column_sources"))
 
 
 @query(_SQL_RECORDS)
@@ -136,7 +148,7 @@ def sql_graph_edges(spark, sf_dir):
 FROM (SELECT target_table AS node, text_id % 2 AS odd FROM ({_SQL_RECORDS}) r UNION ALL SELECT src, CAST(substr(dst, 2) AS BIGINT) % 2 FROM ({_SQL_EDGES}) e) x
 WHERE odd = 1 AND node NOT IN (SELECT target_table FROM ({_SQL_RECORDS}) r WHERE text_id % 2 = 0 UNION ALL SELECT src FROM ({_SQL_EDGES}) e WHERE CAST(substr(dst, 2) AS BIGINT) % 2 = 0)""")
 def ingest_delta(spark, sf_dir):
-    r = materialise(_records(spark, sf_dir))
+    r = _kept_records(spark, sf_dir)
     before = graph.graph_of(r.where("text_id % 2 = 0"), "-")
     return graph.ingest_delta(before, graph.ingest(*before, r.where("text_id % 2 = 1")))
 
@@ -151,7 +163,7 @@ SELECT 'm' || p_partkey AS model_name, p_partkey AS k, CASE p_partkey % 3 WHEN 0
   CASE WHEN p_partkey % 2 = 0 THEN 'raw.s' || p_size ELSE '' END AS sources, CASE p_partkey % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'incremental' ELSE 'view' END AS materialization,
   'id<id;amount<ROUND(price, 2);region<t.region' AS mappings, 'm' || (p_partkey - 1) || CASE WHEN p_partkey % 2 = 0 THEN ',raw.s' || p_size ELSE '' END AS all_upstream FROM part""")
 def dbt_models(spark, sf_dir):
-    m = dbt_extract.all_upstream(dbt_extract.parse_dbt_models(_views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}"))))
+    m = dbt_extract.all_upstream(dbt_extract.parse_dbt_models(_views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}"), TEXTS)))
     return m.selectExpr(
         "model_name", "warehouse_table", "array_join(ref_deps, ',') AS refs", "array_join(transform(source_deps, s -> s.source_name || '.' || s.table_name), ',') AS sources", "materialization",
         "array_join(transform(column_lineage, c -> c.target_col || '<' || c.source_expression), ';') AS mappings", "array_join(all_upstream, ',') AS all_upstream",
@@ -160,14 +172,14 @@ def dbt_models(spark, sf_dir):
 
 @query("SELECT 'm' || p_partkey AS model_name, 'm' || (p_partkey - 1) AS refs FROM part")
 def dbt_dependencies(spark, sf_dir):
-    m = dbt_extract.parse_dbt_models(_views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}")))
+    m = dbt_extract.parse_dbt_models(_views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}"), TEXTS))
     return dbt_extract.dependencies(m).selectExpr("model_name", "array_join(ref_deps, ',') AS refs")
 
 
 @query("SELECT 'm' || (p_partkey % 50) AS model_name, 'm' || (max(p_partkey) - 1) AS refs FROM part GROUP BY p_partkey % 50")
 def dbt_repeated_names(spark, sf_dir):
     """Models of one name: the last one counts."""
-    models = _views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}")).selectExpr("'m' || (k % 50) AS model_name", "sql", "k AS ord")
+    models = _views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}"), TEXTS).selectExpr("'m' || (k % 50) AS model_name", "sql", "k AS ord")
     return dbt_extract.dependencies(dbt_extract.parse_dbt_models(models), "ord").selectExpr("model_name", "array_join(ref_deps, ',') AS refs")
 
 
@@ -178,8 +190,8 @@ SELECT 'p' || s_suppkey AS pipeline_name, s_suppkey AS ord, 'a = spark.read.parq
 
 
 def _scripts(spark, sf_dir) -> DataFrame:
-    code = _views(spark, sf_dir, _SCRIPTS.replace("{", "{{").replace("}", "}}"))
-    return script_extract.parse_scripts(spread(code)).withColumn("ord", F.substring("pipeline_name", 2, 20).cast("bigint"))
+    code = _views(spark, sf_dir, _SCRIPTS.replace("{", "{{").replace("}", "}}"), TEXTS)
+    return script_extract.parse_scripts(code).withColumn("ord", F.substring("pipeline_name", 2, 20).cast("bigint"))
 
 
 @query("""SELECT 'p' || s_suppkey AS pipeline_name, 's3://lake/a' || s_suppkey || '/:parquet,s3://lake/b' || (s_suppkey % 10) || ':csv' AS sources,
@@ -202,7 +214,7 @@ SELECT 'q' || s_suppkey AS pipeline_name, 'base = "s3://lake"\na = spark.read.ta
   'withColumn(a)[y' || s_suppkey || ']c,select(a)[id+x],union(a+b)[],groupBy(c)[id+x]d' AS steps FROM supplier""")
 def script_calls(spark, sf_dir):
     """Tables, paths in variables, schemas and modes behind them, unions, columns of select, groupBy and withColumn."""
-    records = script_extract.paths(script_extract.parse_scripts(_views(spark, sf_dir, _CALLS)))
+    records = script_extract.paths(script_extract.parse_scripts(_views(spark, sf_dir, _CALLS, TEXTS)))
     return records.selectExpr(
         "pipeline_name", "array_join(source_paths, ',') AS sources", "array_join(sink_paths, ',') AS sinks",
         """array_join(transform(transformations, t -> t.operation || '(' || array_join(t.input_vars, '+') || ')[' ||
@@ -219,15 +231,22 @@ def _tasks(spark, sf_dir) -> DataFrame:
     return airflow_tasks(rows).join(rows.select("dag_id", "task_id", "ord"), ["dag_id", "task_id"])
 
 
+def systems(spark: SparkSession, sf_dir: str) -> merge.Unified:
+    """All systems of the corpus, without cross edges."""
+    none = merge.Unified.empty(spark)
+    models = dbt_extract.parse_dbt_models(_views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}"), TEXTS))
+    return merge.together(
+        merge.add_sql(none, *graph.graph_of(_kept_records(spark, sf_dir), "-")),
+        merge.add_spark(none, materialise(_scripts(spark, sf_dir))),
+        merge.add_dbt(none, materialise(models.withColumn("ord", F.substring("model_name", 2, 20).cast("bigint")))),
+        merge.add_airflow(none, _tasks(spark, sf_dir)),
+    )
+
+
 def unified(spark: SparkSession, sf_dir: str) -> merge.Unified:
     """All systems of the corpus with their cross edges."""
-    u = merge.Unified.empty(spark)
-    u = merge.add_sql(u, *graph.graph_of(materialise(_records(spark, sf_dir)), "-"))
-    u = merge.add_spark(u, materialise(_scripts(spark, sf_dir)))
-    models = dbt_extract.parse_dbt_models(_views(spark, sf_dir, _MODELS.replace("{", "{{").replace("}", "}}")))
-    u = merge.add_dbt(u, models.withColumn("ord", F.substring("model_name", 2, 20).cast("bigint")))
-    u = merge.add_airflow(u, _tasks(spark, sf_dir))
-    return merge.with_cross_edges(merge.Unified(*(materialise(x) for x in (u.nodes, u.edges, u.paths))))
+    u = systems(spark, sf_dir)
+    return merge.with_cross_edges(merge.Unified(u.nodes, materialise(u.edges), materialise(u.paths)))
 
 
 _U_NODES = f"""SELECT node, 'sql' AS system, CASE WHEN bool_or(fed) THEN 'SinkTable' ELSE 'SourceTable' END AS node_type FROM (SELECT target_table AS node, sources <> '' AS fed FROM ({_SQL_RECORDS}) r UNION ALL SELECT src, false FROM ({_SQL_EDGES}) e) x GROUP BY node
@@ -248,7 +267,7 @@ UNION ALL SELECT src, dst, 'cross' FROM ({_U_CROSS}) c"""
 
 @query(_U_NODES)
 def unified_nodes(spark, sf_dir):
-    return unified(spark, sf_dir).nodes.select("node", "system", "node_type")
+    return systems(spark, sf_dir).nodes.select("node", "system", "node_type")
 
 
 @query(_U_EDGES)
@@ -507,7 +526,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 UNION ALL SELECT 'health', 'true', 'true'""")
 def store_round_trip(spark, sf_dir):
     """An empty store, filled by upserts, read again."""
-    nodes, edges = graph.graph_of(materialise(_records(spark, sf_dir)), "-")
+    nodes, edges = graph.graph_of(_kept_records(spark, sf_dir), "-")
     kept = store.Store(spark, _folder(spark, "store"))
     before = kept.health()
     kept.create()

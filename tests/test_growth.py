@@ -3,6 +3,7 @@
 import json
 
 from headwater.operators import graph, impact, merge, sql_extract
+from headwater.operators.dbt_extract import parse_dbt_models
 from headwater.plans.stages import spread
 
 
@@ -78,3 +79,18 @@ def test_tasks_hold_so_many_texts(spark):
     t = spark.range(0, 10_000, 1, 2)
     assert spread(t, 500).rdd.getNumPartitions() == 20 and spread(t, 500).distinct().count() == 10_000
     assert spread(spark.range(0, 10_000, 1, 30), 500).rdd.getNumPartitions() == 30 and spread(t).rdd.getNumPartitions() == 4 and spread(t.limit(0), 500).count() == 0
+
+
+def test_systems_are_merged_at_once(spark):
+    r = graph.graph_of(sql_extract.parse_sql(spark, "; ".join(f"INSERT INTO t{i % 900} SELECT a{i} AS x FROM s{i % 300}" for i in range(1800))).checkpoint(), "-")
+    r = [x.checkpoint() for x in r]
+    rows = [(f"m{i}", f"SELECT a FROM {{{{ ref('m{i - 1}') }}}}", i) for i in range(50)]
+    m = parse_dbt_models(spark.createDataFrame(rows, "model_name string, sql string, ord long")).checkpoint()
+    none = merge.Unified.empty(spark)
+    apart = merge.add_dbt(merge.add_sql(none, *r, register=True), m)
+    once = merge.together(merge.add_sql(none, *r, register=True), merge.add_dbt(none, m))
+    for a, b in ((once.nodes, apart.nodes), (once.edges, apart.edges), (once.paths, apart.paths)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    u = merge.Unified(*(x.checkpoint() for x in (once.nodes, once.edges, once.paths)))
+    crossed = merge.with_cross_edges(u).edges
+    assert "Aggregate" not in crossed.where("system = 'sql'")._jdf.queryExecution().optimizedPlan().toString()
