@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.plans.closure import first_by, reach, simple_paths, topological_levels
+from headwater.plans.stages import keyed, kept, parts
 
 MAPPINGS = "array<struct<target_col:string,source_expression:string>>"
 NODE_SCHEMA = "node string, schema string, row_count_estimate bigint, last_updated string, is_source boolean, seq array<bigint>"
@@ -108,11 +109,21 @@ def impact_analysis(edges: DataFrame, node: str) -> DataFrame:
 
 def closure_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, upstream_count, downstream_count) of every node from one traversal."""
-    every = nodes.select(F.col("node").alias("root"), "node")
-    pairs = reach(edges, every, paths=False).where("root <> node").select("root", "node")
-    down = pairs.groupBy(F.col("root").alias("node")).agg(F.count("*").alias("downstream_count"))
-    up = pairs.groupBy("node").agg(F.count("*").alias("upstream_count"))
-    return nodes.select("node").join(up, "node", "left").join(down, "node", "left").na.fill(0)
+    n = parts(edges, nodes)
+    names = keyed(nodes.select("node").distinct(), "node", n)
+    ids = kept(names.select("node", F.monotonically_increasing_id().alias("id")), n)
+    # pairs of numbers take a fraction of the room and time that pairs of names take
+    a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("a")), ids.select(F.col("node").alias("dst"), F.col("id").alias("b"))
+    links = kept(edges.select("src", "dst").repartition(n, "src").join(a, "src", "left").repartition(n, "dst").join(b, "dst", "left").select("a", "b"), n)
+    if links.where("a IS NULL OR b IS NULL").isEmpty():
+        links = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    else:  # edges between unknown nodes lead on, too
+        links, ids = edges, names.withColumn("id", F.col("node"))
+    pairs = reach(links, ids.select(F.col("id").alias("root"), F.col("id").alias("node")), paths=False).where("root <> node")
+    down = pairs.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("downstream_count"))
+    up = pairs.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("upstream_count"))
+    found = ids.join(up, "id", "left").join(down, "id", "left").select("node", "upstream_count", "downstream_count")
+    return nodes.select("node").join(found, "node", "left").na.fill(0)
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -30,10 +30,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _keeping(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k) for k in _KEPT}
+def _holding(spark: SparkSession, held: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in held}
     try:
-        for k, v in _KEPT.items():
+        for k, v in held.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -42,20 +42,24 @@ def _keeping(spark: SparkSession) -> Iterator[None]:
 
 
 def parts(*relations: DataFrame) -> int:
-    """How many partitions the largest relation is parted into: one for each core, more where they would hold over ROWS."""
-    return max(relations[0].sparkSession.sparkContext.defaultParallelism, *(-(-r.count() // ROWS) for r in relations))
+    """How many partitions the largest relation is parted into: one for each core, more where they would hold over ROWS.
+    What the relations are made of is grouped in many partitions meanwhile; small ones are put together as it runs."""
+    spark = relations[0].sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    with _holding(spark, {"spark.sql.shuffle.partitions": str(max(50 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))}):
+        return max(cores, *(-(-r.count() // ROWS) for r in relations))
 
 
 def keyed(df: DataFrame, key: str, n: int) -> DataFrame:
     """``df``, written to the checkpoint folder in ``n`` partitions by ``key`` and sorted by it there. What is joined or
-    grouped by the key (and more) within ``keyed`` is where it is needed: only what isn't parted alike is shuffled."""
-    with _keeping(df.sparkSession):
-        return materialise(df.repartition(n, key).sortWithinPartitions(key))
+    grouped by the key (and more) within ``kept`` is where it is needed: only what isn't parted alike is shuffled."""
+    return kept(df.repartition(n, key).sortWithinPartitions(key), n)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, made of relations that are ``keyed`` alike, written with the partitioning that it has."""
-    with _keeping(df.sparkSession):
+def kept(df: DataFrame, n: int | None = None) -> DataFrame:
+    """``df``, made of relations that are ``keyed`` alike, written with the partitioning that it has. ``n``: groups and
+    joins that must be shuffled go to so many partitions."""
+    with _holding(df.sparkSession, _KEPT | ({"spark.sql.shuffle.partitions": str(n)} if n else {})):
         return materialise(df)
 
 

@@ -4,6 +4,8 @@ import json
 
 from headwater.operators import graph, impact, merge, sql_extract
 from headwater.operators.dbt_extract import parse_dbt_models
+from headwater.plans import stages
+from headwater.plans.closure import topological_levels
 from headwater.plans.stages import spread
 
 
@@ -94,3 +96,34 @@ def test_systems_are_merged_at_once(spark):
     u = merge.Unified(*(x.checkpoint() for x in (once.nodes, once.edges, once.paths)))
     crossed = merge.with_cross_edges(u).edges
     assert "Aggregate" not in crossed.where("system = 'sql'")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_traversals_shuffle_the_edges_once(spark):
+    n, e, edges = long_chain(spark)
+    last = [f"c{i}" for i in range(9)]
+    before = shuffled(spark)
+    assert graph.impact_analysis(e, "c0").collect()[-1].path == last and shuffled(spark) - before < 3 * edges
+    before = shuffled(spark)
+    assert [r.path for r in graph.end_to_end_paths(e.unionByName(e), "c0", "c8").collect()] == [last] and shuffled(spark) - before < 4 * edges
+    before = shuffled(spark)
+    levels = {r.node: r.level for r in topological_levels(n, e).collect()}
+    assert [levels[x] for x in last] == [*range(9)] and len(levels) == n.count() and shuffled(spark) - before < 6 * edges
+
+
+def test_levels_with_repeated_edges_loops_and_unknown_nodes(spark):
+    e = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("s", "s"), ("c", "d"), ("s", "t"), ("zz", "u"), ("a", "gone"), ("gone", "c")], "src string, dst string")
+    n = spark.createDataFrame([(x,) for x in "abcdstu"], "node string")
+    assert {r.node: r.level for r in topological_levels(n, e).collect()} == {"a": 0, "b": 1, "c": None, "d": None, "s": None, "t": None, "u": None}
+    known = spark.createDataFrame([(x,) for x in "abc"], "node string")
+    got = {r.node: (r.upstream_count, r.downstream_count) for r in graph.closure_counts(known, e.where("src <> 's'")).collect()}
+    assert got == {"a": (0, 4), "b": (1, 2), "c": (2, 1)}
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(stages, "ROWS", 1000)
+    e = spark.range(30_000).selectExpr("'a' || id AS src", "'b' || id AS dst")
+    assert stages.parts(e, e.limit(5)) == 30
+    a, b = stages.keyed(e, "src", 30), stages.keyed(e.selectExpr("src AS node"), "node", 30)
+    assert a.rdd.getNumPartitions() == 30 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    before = shuffled(spark)
+    assert stages.kept(a.join(b, a.src == b.node)).count() == 30_000 and shuffled(spark) - before < 100
